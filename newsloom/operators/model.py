@@ -24,7 +24,7 @@ from newsloom import config
 from newsloom.functions.terms import TOKEN
 from newsloom.operators.topics import ranked_scores, with_classification_text, with_verdict
 
-FEATURES = 1 << 16
+FEATURES = 1 << 14
 
 
 def _pipeline(labels: Sequence[str], max_iter: int, reg_param: float) -> Pipeline:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import config
+from newsloom.functions.arrays import add_once
 from newsloom.functions.markup import (
     clean_summary,
     fallback_summary,
@@ -25,7 +26,7 @@ def extract_body(pages: DataFrame, html: str = "html") -> DataFrame:
     # Second chance: all paragraphs, wherever they are.
     body = F.when(F.col("_main") != "", F.col("_main")).otherwise(paragraph_lines(F.col("_clean")))
     cut = F.substring(body, 1, config.PAGE_BODY_CHARS)
-    return staged.withColumn("body", F.nullif(cut, F.lit(""))).drop("_clean", "_main")
+    return add_once(staged, body=F.nullif(cut, F.lit(""))).drop("_clean", "_main")
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import config
-from newsloom.functions.arrays import let
+from newsloom.functions.arrays import add_once, let
 from newsloom.functions.terms import ngrams, run_counts, run_starts, tokens
 from newsloom.lexicon import Lexicon
 from newsloom.operators.normalize import classification_text
@@ -101,25 +101,22 @@ def _model_of(lexicon: Lexicon) -> _LabelModel:
 
 def add_keyword_hits(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """`hits`: per label, the word counts of its phrases that occur anywhere in the text."""
-    return df.withColumn("_lower", F.lower(text)).withColumn(
-        "hits",
-        F.expr(
-            f"transform({_model_of(lexicon).phrases_sql}, label -> aggregate(label, 0.0D, "
-            "(acc, p) -> acc + if(contains(_lower, p.kw), p.w, 0.0D)))"
-        ),
-    ).withColumn("hits", F.when(F.col("_lower").isNotNull(), F.col("hits"))).drop("_lower")
+    hits = F.expr(
+        f"transform({_model_of(lexicon).phrases_sql}, label -> aggregate(label, 0.0D, "
+        "(acc, p) -> acc + if(contains(_lower, p.kw), p.w, 0.0D)))"
+    )
+    lowered = df.withColumn("_lower", F.lower(text))
+    return add_once(lowered, hits=F.when(F.col("_lower").isNotNull(), hits)).drop("_lower")
 
 
 def add_keyword_norm(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     """`keyword`: hits over their maximum; uniform when no phrase occurs."""
     uniform = 1.0 / len(lexicon.labels)
-    return df.withColumn(
-        "keyword",
-        let(
-            F.array_max("hits"),
-            lambda top: F.transform("hits", lambda h: F.when(top > 0, h / top).otherwise(uniform)),
-        ),
+    normed = let(
+        F.array_max("hits"),
+        lambda top: F.transform("hits", lambda h: F.when(top > 0, h / top).otherwise(uniform)),
     )
+    return add_once(df, keyword=normed)
 
 
 def add_tokens(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -134,7 +131,7 @@ def add_term_counts(df: DataFrame, lexicon: Lexicon, text: str = "text") -> Data
     staged = add_tokens(df, lexicon, text)
     staged = staged.withColumn("_ordered", F.sort_array(ngrams(F.col("words"))))
     staged = staged.withColumn("_starts", run_starts(F.col("_ordered")))
-    staged = staged.withColumn("term_counts", run_counts(F.col("_ordered"), F.col("_starts")))
+    staged = add_once(staged, term_counts=run_counts(F.col("_ordered"), F.col("_starts")))
     return staged.drop("words", "_ordered", "_starts")
 
 
@@ -187,7 +184,7 @@ def add_cosine(df: DataFrame, lexicon: Lexicon) -> DataFrame:
             ),
         ),
     )
-    return staged.withColumn("cosine", cosine).drop("_shared")
+    return add_once(staged, cosine=cosine).drop("_shared")
 
 
 def add_scores(df: DataFrame) -> DataFrame:
@@ -204,13 +201,12 @@ def add_scores(df: DataFrame) -> DataFrame:
             "combined", lambda c: F.exp((c - top) / F.lit(config.TEMPERATURE))
         ),
     )
-    return staged.withColumn("_exps", exps).withColumn(
-        "scores",
-        let(
-            F.aggregate("_exps", F.lit(0.0), lambda acc, e: acc + e),
-            lambda total: F.transform("_exps", lambda e: e / total),
-        ),
-    ).drop("_exps")
+    scores = let(
+        F.aggregate("_exps", F.lit(0.0), lambda acc, e: acc + e),
+        lambda total: F.transform("_exps", lambda e: e / total),
+    )
+    staged = staged.withColumn("_exps", exps)
+    return add_once(staged, combined=F.col("combined"), scores=scores).drop("_exps")
 
 
 def score_text(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -237,14 +233,15 @@ def ranked_scores(scores: Column, labels: tuple[str, ...]) -> Column:
     )
 
 
-def with_verdict(df: DataFrame, ranked: str = "all_scores") -> DataFrame:
-    """`category, confidence` from ranked scores; a row that could not be scored stays, Unknown."""
-    best = F.get(F.col(ranked), F.lit(0))
-    return df.withColumns({
-        "category": F.coalesce(best["label"], F.lit(config.UNKNOWN)),
-        "confidence": F.coalesce(F.round(best["score"], config.CONFIDENCE_DIGITS), F.lit(0.0)),
-        ranked: F.coalesce(F.col(ranked), F.array().cast(SCORES_TYPE)),
-    })
+def with_verdict(df: DataFrame) -> DataFrame:
+    """`category, confidence` from `all_scores`; a row that could not be scored stays, Unknown."""
+    best = F.get(F.col("all_scores"), F.lit(0))
+    return add_once(
+        df,
+        category=F.coalesce(best["label"], F.lit(config.UNKNOWN)),
+        confidence=F.coalesce(F.round(best["score"], config.CONFIDENCE_DIGITS), F.lit(0.0)),
+        all_scores=F.coalesce(F.col("all_scores"), F.array().cast(SCORES_TYPE)),
+    )
 
 
 def with_classification_text(articles: DataFrame, text: str = "text") -> DataFrame:

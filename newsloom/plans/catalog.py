@@ -276,23 +276,25 @@ def classify_custom_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(topics.classify_articles(_kept(spark, sf_dir), lexicon), "url")
 
 
-def _initial_scorer():
-    """A stand-in model: labels score by how often their initial occurs in the text."""
-
-    def score(text: str, labels: list[str]) -> dict:
-        low = text.lower()
-        weights = [1 + low.count(label[0].lower()) for label in labels]
-        total = sum(weights)
-        ranked = sorted(zip(labels, weights), key=lambda pair: -pair[1])
-        return {"labels": [l for l, _ in ranked], "scores": [w / total for _, w in ranked]}
+@_query
+def classify_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def load():
+        """A stand-in model: labels score by how often their initial occurs in the text."""
 
-    return score
+        def score(text: str, labels: list[str]) -> dict:
+            low = text.lower()
+            weights = [1 + low.count(label[0].lower()) for label in labels]
+            total = sum(weights)
+            ranked = sorted(zip(labels, weights), key=lambda pair: -pair[1])
+            return {
+                "labels": [label for label, _ in ranked],
+                "scores": [weight / total for _, weight in ranked],
+            }
 
+        return score
 
-@_query
-def classify_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = backends.classify_with_backend(
-        _kept(spark, sf_dir), default_lexicon(), base_scorer=_initial_scorer
+        _kept(spark, sf_dir), default_lexicon(), base_scorer=load
     )
     return _verdict(scored, "url")
 
