@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def tokens(text: Column, stop_words: Sequence[str]) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
-    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+
+
+def one_of(name: str, words: Sequence[str]) -> str:
+    """SQL membership test; long word lists are far quicker to hand over as text."""
+    quoted = ("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return f"({name} IN ({', '.join(quoted)}))" if words else "false"
 
 
 def ngrams(words: Column) -> Column:

@@ -16,6 +16,7 @@ terms by one and everything else is known up front. With `n` documents, term cou
 
 from __future__ import annotations
 
+import json
 import math
 from functools import lru_cache
 
@@ -24,21 +25,13 @@ from pyspark.sql import functions as F
 
 from newsloom import config
 from newsloom.functions.arrays import add_once, let
-from newsloom.functions.terms import ngrams, run_counts, run_starts, tokens
+from newsloom.functions.terms import ngrams, one_of, run_counts, run_starts, tokens
 from newsloom.lexicon import Lexicon
 from newsloom.operators.normalize import classification_text
 
 SCORES_TYPE = "array<struct<label:string,score:double>>"
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _doubles(values: list[float]) -> str:
-    return "array(" + ", ".join(f"{value!r}D" for value in values) + ")"
-
-
 def _tf(count: int) -> float:
     return 1.0 + math.log(count)
 
@@ -48,45 +41,47 @@ def _idf(n_docs: int, d: int) -> float:
 
 
 class _LabelModel:
-    """The label side of the closed form, rendered as foldable SQL literals."""
+    """The label side of the closed form."""
 
     def __init__(self, lexicon: Lexicon):
         documents = lexicon.label_terms()
         n_docs = 1 + len(documents)
         self.new_term_weight = _idf(n_docs, 1)
         self.bases = [0.0] * len(documents)
-        entries = []
-        terms = sorted(set().union(*documents))
-        for term in terms:
+        self.terms = sorted(set().union(*documents))
+        entries = {}
+        for term in self.terms:
             tfs = [_tf(doc[term]) if term in doc else 0.0 for doc in documents]
             d = sum(tf > 0 for tf in tfs)
             alone, shared = _idf(n_docs, d) ** 2, _idf(n_docs, d + 1) ** 2
             for k, tf in enumerate(tfs):
                 self.bases[k] += tf * tf * alone
-            entries.append(
-                f"named_struct('d', {d}, 'weight', {_idf(n_docs, d + 1)!r}D, "
-                f"'dots', {_doubles([tf * shared for tf in tfs])}, "
-                f"'shifts', {_doubles([tf * tf * (shared - alone) for tf in tfs])})"
-            )
-        names = ", ".join(_quoted(term) for term in terms)
-        self.terms_sql = names or "''"
-        self.map_sql = (
-            f"map_from_arrays(array({names}), array({', '.join(entries)}))"
-            if terms
-            else "cast(map() as map<string, struct<d:int, weight:double, "
-            "dots:array<double>, shifts:array<double>>>)"
+            entries[term] = {
+                "d": d,
+                "weight": _idf(n_docs, d + 1),
+                "dots": [tf * shared for tf in tfs],
+                "shifts": [tf * tf * (shared - alone) for tf in tfs],
+            }
+        self.entries_json = json.dumps(entries)
+        self.phrases_json = json.dumps(
+            [[{"kw": p, "w": w} for p, w in label] for label in lexicon.phrase_weights()]
         )
-        self.phrases_sql = "array({})".format(
-            ", ".join(
-                "array({})".format(
-                    ", ".join(f"named_struct('kw', {_quoted(p)}, 'w', {w!r}D)" for p, w in label)
-                )
-                if label
-                else "cast(array() as array<struct<kw:string, w:double>>)"
-                for label in lexicon.phrase_weights()
-            )
+
+    # JSON text keeps the plan small while it is built; the optimizer folds it into one literal.
+
+    def entries(self) -> Column:
+        return F.from_json(
+            F.lit(self.entries_json),
+            "map<string, struct<d:int, weight:double, dots:array<double>, shifts:array<double>>>",
         )
 
+    def phrases(self) -> Column:
+        return F.from_json(F.lit(self.phrases_json), "array<array<struct<kw:string, w:double>>>")
+
+    def knows(self, term: str) -> str:
+        """SQL for a hash lookup of a term."""
+        return one_of(term, self.terms)
+
 
 @lru_cache(maxsize=32)
 def _model(key: tuple) -> _LabelModel:
@@ -101,9 +96,13 @@ def _model_of(lexicon: Lexicon) -> _LabelModel:
 
 def add_keyword_hits(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """`hits`: per label, the word counts of its phrases that occur anywhere in the text."""
-    hits = F.expr(
-        f"transform({_model_of(lexicon).phrases_sql}, label -> aggregate(label, 0.0D, "
-        "(acc, p) -> acc + if(contains(_lower, p.kw), p.w, 0.0D)))"
+    hits = F.transform(
+        _model_of(lexicon).phrases(),
+        lambda label: F.aggregate(
+            label,
+            F.lit(0.0),
+            lambda acc, p: acc + F.when(F.contains(F.col("_lower"), p["kw"]), p["w"]).otherwise(0.0),
+        ),
     )
     lowered = df.withColumn("_lower", F.lower(text))
     return add_once(lowered, hits=F.when(F.col("_lower").isNotNull(), hits)).drop("_lower")
@@ -120,7 +119,8 @@ def add_keyword_norm(df: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def add_tokens(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    return df.withColumn("words", tokens(F.col(text), lexicon.stop_words))
+    kept = f"filter(words, w -> NOT {one_of('w', lexicon.stop_words)})"
+    return df.withColumn("words", tokens(F.col(text))).withColumn("words", F.expr(kept))
 
 
 def add_term_counts(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -139,7 +139,7 @@ def term_weights(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row per term of `term_counts`: label documents holding it and its TF-IDF weight."""
     model = _model_of(lexicon)
     exploded = df.select("*", F.inline("term_counts")).drop("term_counts")
-    known = F.expr(f"if(term IN ({model.terms_sql}), {model.map_sql}[term], null)")
+    known = F.when(F.expr(model.knows("term")), model.entries()[F.col("term")])
     exploded = exploded.withColumn("_known", known)
     idf = F.coalesce(F.col("_known.weight"), F.lit(model.new_term_weight))
     return exploded.withColumns({
@@ -153,23 +153,24 @@ def add_cosine(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     model = _model_of(lexicon)
     new_weight = model.new_term_weight
     # One hash lookup per term finds the few that label documents share; only those read the map.
-    staged = df.withColumn(
-        "_shared",
-        F.expr(
-            f"transform(filter(term_counts, t -> t.term IN ({model.terms_sql})), t -> "
-            f"named_struct('tf', 1.0D + ln(t.cnt), 'm', {model.map_sql}[t.term]))"
+    shared = F.transform(
+        F.expr(f"filter(term_counts, t -> {model.knows('t.term')})"),
+        lambda t: F.struct(
+            (1.0 + F.log(t["cnt"])).alias("tf"), model.entries()[t["term"]].alias("m")
         ),
     )
-    norm2 = F.expr(
-        "aggregate(term_counts, 0.0D, (acc, t) -> acc + pow(1.0D + ln(t.cnt), 2)) "
-        f"* {new_weight * new_weight!r}D "
-        "+ aggregate(_shared, 0.0D, (acc, s) -> acc + s.tf * s.tf * "
-        f"(s.m.weight * s.m.weight - {new_weight * new_weight!r}D))"
+    staged = df.withColumn("_shared", shared)
+    norm2 = F.aggregate(
+        "term_counts", F.lit(0.0), lambda acc, t: acc + F.pow(1.0 + F.log(t["cnt"]), 2)
+    ) * new_weight**2 + F.aggregate(
+        "_shared",
+        F.lit(0.0),
+        lambda acc, t: acc + t["tf"] * t["tf"] * (t["m"]["weight"] * t["m"]["weight"] - new_weight**2),
     )
     cosine = let(
         norm2,
         lambda text_norm2: F.transform(
-            F.expr(_doubles(model.bases)),
+            F.array(*[F.lit(base) for base in model.bases]),
             lambda base, k: F.aggregate(
                 "_shared",
                 F.struct(F.lit(0.0).alias("dot"), base.alias("norm2")),

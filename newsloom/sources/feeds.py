@@ -24,7 +24,8 @@ OPTIONAL_FEEDS = {
     "MIT Tech Review": "https://www.technologyreview.com/feed/",
 }
 
-RSS_SCHEMA = "title string, link string, description string, pubDate string"
+# `updated` stands for a namespaced sibling such as atom:updated.
+RSS_SCHEMA = "title string, link string, description string, pubDate string, updated string"
 _TEXT = "struct<_VALUE:string, _type:string>"
 ATOM_SCHEMA = (
     f"title {_TEXT}, link array<struct<_href:string, _rel:string>>, summary {_TEXT}, "
@@ -70,7 +71,7 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
         "description", "link",
         F.lit(None).cast(LINKS_TYPE).alias("links"),
         F.col("pubDate").alias("published"),
-        F.lit(None).cast("string").alias("updated"),
+        "updated",
     )
 
 
@@ -108,7 +109,7 @@ def write_rss(entries: DataFrame, path: str) -> None:
     items = entries.select(
         "feed_ord", "source", "title", "link",
         F.coalesce("description", "summary").alias("description"),
-        F.col("published").alias("pubDate"),
+        F.col("published").alias("pubDate"), "updated",
     )
     writer = items.write.format("xml").option("rootTag", "rss").option("rowTag", "item")
     writer.partitionBy("feed_ord", "source").save(path)
