@@ -527,7 +527,7 @@ def summary_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = tables.load(spark, sf_dir, "documents").schema
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     docs = ingest.stream_table(spark, f"{sf_dir}/documents*.parquet", schema)
     return tables.document_entries(docs)
 

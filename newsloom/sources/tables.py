@@ -16,11 +16,27 @@ from pyspark.sql import functions as F
 AS_OF = datetime(2024, 3, 1, tzinfo=timezone.utc)
 STORY = "https://news.example/story/"
 WEB_FEED = 1000
+SPREAD_MIN_BYTES = 1 << 20
+SPREAD_MAX_BYTES = 64 << 20
 LINKS_TYPE = "array<struct<href:string,rel:string>>"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spreads a small table over all cores.
+
+    A table of a few megabytes tends to be one Parquet row group, which is one task however many
+    cores there are. Above `SPREAD_MAX_BYTES` the scan's own splits are the partitioning and
+    nothing is moved.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not SPREAD_MIN_BYTES <= size <= SPREAD_MAX_BYTES:
+        return df
+    return df.repartition(cores)
 
 
 def first_line(text: Column) -> Column:
