@@ -43,13 +43,17 @@ KEY = ("feed_ord", "entry_ord")
 DIGITS = 6
 
 _QUERIES: dict[str, Query] = {}
+_NAMES = {
+    f"{name}_text": name for name in ("clean_html", "clean_summary", "fallback_summary")
+}
 
 
 def _query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(pin_utc(spark), sf_dir)
 
-    _QUERIES[fn.__name__] = run
+    # Functions named *_text share their operator's name without it.
+    _QUERIES[_NAMES.get(fn.__name__, fn.__name__)] = run
     return fn
 
 

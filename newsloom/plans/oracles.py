@@ -398,7 +398,7 @@ left join (select feed_ord, count(*) as n_kept from kept group by 1) k on k.feed
         "feed_xml_entries": f"""
 select feed_ord, source, title, description, url, {when_text('published')} as published
 from doc_articles""",
-        "clean_html_text": f"select page_id, {clean('html')} as cleaned from pages",
+        "clean_html": f"select page_id, {clean('html')} as cleaned from pages",
         "normalize_entries": f"select * replace ({when_text('published')} as published) from articles",
         "resolve_url": "select feed_ord, entry_ord, coalesce(nullif(link, ''), first_href, '') as url from entries",
         "parse_published": f"select feed_ord, entry_ord, {when_text('published')} as published from articles",
@@ -452,13 +452,13 @@ from chosen where length(body) > 0""",
         "resolve_responses": "select * from resolved",
         "attempt_error_classes": """
 select error_class, count(*) as n_attempts from classed where error_text is not null group by 1""",
-        "clean_summary_text": "select conv_id, turn, {} as summary from conversations where role = 'assistant'".format(
+        "clean_summary": "select conv_id, turn, {} as summary from conversations where role = 'assistant'".format(
             clean_summary(
                 "('### Notes_on `it`' || chr(13) || chr(10) || ' 1. **' || replace(text, '. ', '**' || chr(10) "
                 "|| ' - *') || '*' || chr(10) || chr(10) || ' • __end__' || chr(9) || ' of_it_all')"
             )
         ),
-        "fallback_summary_text": f"select doc_id, {fallback('text')} as summary from documents",
+        "fallback_summary": f"select doc_id, {fallback('text')} as summary from documents",
         "summarize_articles": "select url, summary, summary_source, body_source from summarized",
         "summary_cache_pending": """
 select url, title from kept k where not exists (select 1 from cache_ c where c.url = k.url)""",
