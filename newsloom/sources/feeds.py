@@ -104,6 +104,11 @@ def from_enabled_feeds(entries: DataFrame, registry: DataFrame) -> DataFrame:
     return joined.withColumn("feed_ord", F.col("_ord")).drop("_ord").select(*entries.columns)
 
 
+def _by_feed(rows: DataFrame) -> DataFrame:
+    """Gathers a feed's rows so that it lands in few files; a very large feed is still split."""
+    return rows.hint("rebalance", "feed_ord", "source")
+
+
 def write_rss(entries: DataFrame, path: str) -> None:
     """Lands raw entries as RSS files, one folder per feed; the inverse of `read_rss`."""
     items = entries.select(
@@ -111,7 +116,7 @@ def write_rss(entries: DataFrame, path: str) -> None:
         F.coalesce("description", "summary").alias("description"),
         F.col("published").alias("pubDate"), "updated",
     )
-    writer = items.write.format("xml").option("rootTag", "rss").option("rowTag", "item")
+    writer = _by_feed(items).write.format("xml").option("rootTag", "rss").option("rowTag", "item")
     writer.partitionBy("feed_ord", "source").save(path)
 
 
@@ -126,5 +131,5 @@ def write_atom(entries: DataFrame, path: str) -> None:
         F.struct(text.alias("_VALUE"), F.lit("html").alias("_type")).alias("summary"),
         "published", "updated",
     )
-    writer = rows.write.format("xml").option("rootTag", "feed").option("rowTag", "entry")
+    writer = _by_feed(rows).write.format("xml").option("rootTag", "feed").option("rowTag", "entry")
     writer.partitionBy("feed_ord", "source").save(path)
