@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import byte_bpe, simhash, token_counts, toxicity, winnowing
+from newsloom.llm import brown_lm, byte_bpe, simhash, token_counts, toxicity, winnowing
 from newsloom.llm.common import load, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, path, public_tokenizers.PATTERN, TOKEN_LIMIT)
 
 
+@_query
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based bigram scores of all documents, from nine tenths of them."""
+    return brown_lm.score_held_out(load(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents from labels of two thirds of them."""
