@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import brown_lm, byte_bpe, simhash, token_counts, toxicity, winnowing
+from newsloom.llm import brown_lm, byte_bpe, decontaminate, pii, simhash, token_counts, toxicity, winnowing
 from newsloom.llm.common import load, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def registered() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline, all stages."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @_query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; words in runs of four, four bits apart."""
@@ -61,6 +69,20 @@ def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return decontaminate.find_contaminated(
+        load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
+    )
+
+
+@_query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by pattern and by what terms reveal."""
+    return pii.digests(pii.find_personal_data(load(spark, sf_dir, "documents")))
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents from labels of two thirds of them."""

@@ -47,9 +47,18 @@ def shingle_hashes(text: str, k: int) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
 
 
-def simhash(text: str, k: int) -> int:
-    """The bits set in over half of the shingle hashes; 0 for a text without words."""
-    h = shingle_hashes(text, k)
+def _mixed(h: np.ndarray, turn: int) -> np.ndarray:
+    """Hashes that are independent of `h` for each turn; turn 0 is `h` itself."""
+    if turn == 0:
+        return h
+    h = h + np.uint64((turn * 0x9E3779B97F4A7C15) % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of some hashes; 0 if there are none."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(h), CHUNK):
         octets = h[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -58,15 +67,24 @@ def simhash(text: str, k: int) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every document; null texts are empty."""
+def simhash(text: str, k: int) -> int:
+    return majority(shingle_hashes(text, k))
+
+
+def fingerprints(docs: DataFrame, k: int, turns: int = 1) -> DataFrame:
+    """row, doc_id and `turns` fingerprints (signed longs) of every document; null texts are empty."""
 
     def task(batches):
         for batch in batches:
-            values = np.array([simhash(t, k) for t in batch["text"]], np.uint64)
-            yield {"doc_id": batch["doc_id"], "fp": values.view(np.int64).tolist()}
+            values = []
+            for text in batch["text"]:
+                h = shingle_hashes(text, k)
+                found = np.array([majority(_mixed(h, t)) for t in range(turns)], np.uint64)
+                values.append(found.view(np.int64).tolist())
+            yield {"row": batch["row"], "doc_id": batch["doc_id"], "fps": values}
 
-    return arrow_rows(documents_of(docs), task, "doc_id long, fp long")
+    rows = documents_of(docs, F.monotonically_increasing_id().alias("row"))
+    return arrow_rows(rows, task, "row long, doc_id long, fps array<long>")
 
 
 def _bands(count: int) -> list[tuple[int, int]]:
@@ -89,13 +107,16 @@ def _turn(values: np.ndarray, left: int) -> np.ndarray:
 
 
 def index_leaves(fps: DataFrame, radius: int) -> DataFrame:
-    """The leaf tables of every band: turned fingerprints in Gray order, and what they share."""
+    """The leaf tables of (turn, fp) rows: for every band of a turn, in Gray order.
+
+    Bands are numbered through the turns. Each leaf has the bits that all its members share.
+    """
     bands = _bands(radius + 1)
     spark = fps.sparkSession
     sign = F.lit(-(1 << 63))
     turns = F.array(*(
         F.struct(
-            F.lit(band).alias("band"),
+            (F.col("turn") * len(bands) + band).alias("band"),
             (
                 F.shiftleft("fp", left).bitwiseOR(F.shiftrightunsigned("fp", BITS - left))
                 if left else F.col("fp")
@@ -141,15 +162,15 @@ def index_leaves(fps: DataFrame, radius: int) -> DataFrame:
             turned = np.array(batch["turned"], np.int64).view(np.uint64)
             for b in np.unique(band).tolist():
                 if open_band is not None and b != open_band:
-                    out, _ = leaves(held, bands[open_band][1], True)
+                    out, _ = leaves(held, bands[open_band % len(bands)][1], True)
                     yield out
                     held = []
                 open_band = b
                 run = turned[band == b]
-                out, held = leaves(np.concatenate([held, run]) if len(held) else run, bands[b][1], False)
+                out, held = leaves(np.concatenate([held, run]) if len(held) else run, bands[b % len(bands)][1], False)
                 yield out
         if len(held):
-            out, _ = leaves(held, bands[open_band][1], True)
+            out, _ = leaves(held, bands[open_band % len(bands)][1], True)
             yield out
 
     schema = "band int, key long, leaf long, fps array<long>, shared_ones long, shared_zeros long"
@@ -227,7 +248,7 @@ def leaf_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
 
 
 def near_links(fps: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that span all pairs within `radius` bits."""
+    """Links (turn, a, b) of distinct (turn, fp) rows that span all pairs within `radius` bits."""
     leaves = index_leaves(fps, radius)
     bands = _bands(radius + 1)
     left, right = leaves.alias("l"), leaves.alias("r")
@@ -249,35 +270,77 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            out_a, out_b = [], []
+            out_turn, out_a, out_b = [], [], []
             for band, fl, fr in zip(batch["band"], batch["fps_l"], batch["fps_r"]):
                 x = np.array(fl, np.int64).view(np.uint64)
                 y = None if fr is None else np.array(fr, np.int64).view(np.uint64)
                 i, j = leaf_links(x, y, radius)
                 if len(i):
-                    both = _turn(x if y is None else np.concatenate([x, y]), BITS - bands[band][0])
+                    both = _turn(x if y is None else np.concatenate([x, y]), BITS - bands[band % len(bands)][0])
                     both = both.view(np.int64)
+                    out_turn += [band // len(bands)] * len(i)
                     out_a += both[i].tolist()
                     out_b += both[j].tolist()
-            yield {"a": out_a, "b": out_b}
+            yield {"turn": out_turn, "a": out_a, "b": out_b}
+
+    return arrow_rows(within.unionByName(across), task, "turn int, a long, b long")
+
 
-    return arrow_rows(within.unionByName(across), task, "a long, b long")
+def classes(fps: DataFrame, radius: int, turns: int = 1) -> DataFrame:
+    """(fp, root): the component of every first fingerprint, over the links of all turns.
 
+    Fingerprints of later turns are links between the first ones of the same documents: each
+    stands for the least first fingerprint it occurs with.
+    """
+    seen = fps.select(
+        F.col("fps")[0].alias("fp"), F.posexplode("fps").alias("turn", "other")
+    ).distinct()
+    names = seen.groupBy("turn", "other").agg(F.min("fp").alias("name"))
+    found = near_links(names.select("turn", F.col("other").alias("fp")), radius)
+    if turns == 1:
+        links = found.select("a", "b")
+    else:
+        names = stored(names, "simhash-names")
+        links = found.join(
+            names.select("turn", F.col("other").alias("a"), F.col("name").alias("name_a")), ["turn", "a"]
+        ).join(
+            names.select("turn", F.col("other").alias("b"), F.col("name").alias("name_b")), ["turn", "b"]
+        ).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+        same = seen.join(names, ["turn", "other"]).filter("fp != name")
+        links = links.unionByName(same.select(F.col("fp").alias("a"), F.col("name").alias("b")))
+    found = components(links, "simhash-components").withColumnRenamed("node", "fp")
+    firsts = fps.select(F.col("fps")[0].alias("fp")).distinct()
+    return firsts.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
-def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, turns: int = 1) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document.
 
     component_id is the least doc_id that links lead to. Null texts are empty, and a text without
     words has fingerprint 0, which links like any other. Repeated rows stay; a null doc_id belongs
-    to a component and does not name it. An empty table gives no rows.
+    to a component and does not name it. An empty table gives no rows. With more `turns`, texts
+    also link by further fingerprints, which finds more of the pairs near the radius.
     """
-    fps = stored(fingerprints(docs, k), "simhash-fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    links = near_links(fps.select("fp").distinct(), radius)
-    found = components(links, "simhash-components").withColumnRenamed("node", "fp")
-    named = least.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fps = stored(fingerprints(docs, k, turns), "simhash-fingerprints")
+    least = fps.groupBy(F.col("fps")[0].alias("fp")).agg(F.min("doc_id").alias("first_id"))
+    named = classes(fps, radius, turns).join(least, "fp")
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(names, "root").select("fp", "component_id")
-    return fps.join(classes, "fp", "left").select(
+    found = named.join(names, "root").select("fp", "component_id")
+    return fps.select("doc_id", F.col("fps")[0].alias("fp")).join(found, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, k: int, radius: int, turns: int) -> DataFrame:
+    """The documents without near copies: of each component the row of the least doc_id stays.
+
+    All columns stay. Rows of equal ids are told apart by their place in the input, so of repeated
+    rows one stays. `docs` must be read from files, so that places are the same in each pass.
+    """
+    fps = stored(fingerprints(docs, k, turns), "simhash-fingerprints")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row")
+    least = fps.groupBy(F.col("fps")[0].alias("fp")).agg(F.min(place).alias("first"))
+    kept = classes(fps, radius, turns).join(least, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.row").alias("_row"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(kept, "_row", "left_semi").drop("_row")

@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,8 +190,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     return fit([(r["doc_id"], r["text"], int(r["toxic"] > 0)) for r in rows.collect()])
 
 
-def score_documents(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, score and predicted of every whole text; `keep` names columns to pass on.
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and predicted of every whole text.
 
     Null texts are empty; an empty text has the score of its single empty window. Rows are
     independent, so repeated rows, null ids and an empty table need no care.
@@ -200,18 +201,22 @@ def score_documents(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         scorer = Scorer(model)
         for batch in batches:
             scores = [scorer.score(t) for t in batch["text"]]
-            yield {
-                "doc_id": batch["doc_id"], "score": scores,
-                "predicted": [int(s >= THRESHOLD) for s in scores],
-                **{c: batch[f"kept_{c}"] for c in keep},
-            }
-
-    rows = documents_of(docs, *[docs[c].alias(f"kept_{c}") for c in keep])
-    schema = ", ".join([
-        "doc_id long", "score double", "predicted int",
-        *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep),
-    ])
-    return arrow_rows(rows, task, schema)
+            predicted = [int(s >= THRESHOLD) for s in scores]
+            yield {"doc_id": batch["doc_id"], "score": scores, "predicted": predicted}
+
+    return arrow_rows(documents_of(docs), task, "doc_id long, score double, predicted int")
+
+
+def keep_unrejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose score stays below the threshold, with all columns; one narrow pass."""
+
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            kept = [scorer.score(t or "") < THRESHOLD for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
