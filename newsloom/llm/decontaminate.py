@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import arrow_rows, documents_of
 
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
 # Items of a shard, about, and characters of their texts; shards are dealt by a hash.
 SHARD_ITEMS = 1_024
 SHARD_CHARS = 4_000_000

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import brown_lm, byte_bpe, decontaminate, pii, simhash, token_counts, toxicity, winnowing
+from newsloom.llm import brown_lm, byte_bpe, chat, decontaminate, pii, simhash, token_counts, toxicity, winnowing
 from newsloom.llm.common import load, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@_query
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its roles repaired at least cost, rendered turn by turn."""
+    return chat.repair(load(spark, sf_dir, "conversations"))
+
+
 @_query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts, and what of each text fits the limit."""
