@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import brown_lm, byte_bpe, chat, decontaminate, pii, simhash, token_counts, toxicity, winnowing
+from newsloom.llm import brown_lm, byte_bpe, chat, decontaminate, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
 from newsloom.llm.common import load, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +90,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(load(spark, sf_dir, "documents")))
 
 
+@_query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without passages of 400 bytes that occur again."""
+    done = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents from labels of two thirds of them."""
