@@ -19,87 +19,111 @@ from bisect import bisect_right
 
 import numpy as np
 
-# Entries a queue holds in memory before it writes a sorted run to disk, and of a run read at once.
-QUEUE_ITEMS = 500_000
-RUN_ITEMS = 4_096
-TOP_LETTER = 0x10FFFF
-# An item is, from the top: letter, order of arrival, place of the suffix, shared letters.
+# Entries of one letter that a queue holds in memory before it writes them to disk.
+QUEUE_ITEMS = 200_000
+# An item is a place of a suffix above the letters it shares with the item before it.
 SHARED_BITS = 16
 SHARED_MASK = (1 << SHARED_BITS) - 1
-PLACE_MASK = (1 << 40) - 1
-PLACE_AND_ORDER = SHARED_BITS + 40 + 40
-
-
-def _item(letter: int, order: int, place: int, shared: int) -> int:
-    return ((letter << 40 | order) << 40 | place) << SHARED_BITS | shared
 
 
 class DiskQueue:
-    """A priority queue of non-negative integers below 2^120; sorted runs go to a scratch file."""
+    """A priority queue by letter, and by arrival within a letter.
+
+    Induction never adds a letter that has been passed, so each letter is a row of blocks that is
+    read once, first to last; full blocks wait in a scratch file.
+    """
 
     def __init__(self, limit: int = QUEUE_ITEMS):
-        self.heap: list[int] = []
         self.limit = limit
-        self.heads: list[tuple[int, int]] = []
-        self.runs: list = []
-
-    def push(self, item: int) -> None:
-        heapq.heappush(self.heap, item)
-        if len(self.heap) > self.limit:
-            self._spill()
-
-    def _spill(self) -> None:
-        file = tempfile.TemporaryFile()
-        self.heap.sort()
-        for item in self.heap:
-            file.write(item.to_bytes(15, "big"))
-        self.heap = []
-        file.seek(0)
-
-        def read():
-            while block := file.read(15 * RUN_ITEMS):
-                for i in range(0, len(block), 15):
-                    yield int.from_bytes(block[i : i + 15], "big")
-            file.close()
-
-        self.runs.append(read())
-        heapq.heappush(self.heads, (next(self.runs[-1]), len(self.runs) - 1))
+        self.open: dict[int, list[int]] = {}
+        self.letters: list[int] = []
+        self.blocks: dict[int, list[tuple[int, int]]] = {}
+        self.file = None
+
+    def push(self, letter: int, item: int) -> None:
+        items = self.open.get(letter)
+        if items is None:
+            items = self.open[letter] = []
+            heapq.heappush(self.letters, letter)
+        items.append(item)
+        if len(items) >= self.limit:
+            self._spill(letter, items)
+
+    def _spill(self, letter: int, items: list[int]) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        self.file.write(array("q", items).tobytes())
+        self.blocks.setdefault(letter, []).append((at, len(items)))
+        items.clear()
+
+    def take(self, letter: int) -> list[int]:
+        """The next block of a letter; an empty one ends it."""
+        waiting = self.blocks.get(letter)
+        if waiting:
+            at, count = waiting.pop(0)
+            self.file.seek(at)
+            return array("q", self.file.read(8 * count)).tolist()
+        items = self.open[letter]
+        if items:
+            self.open[letter] = []
+        else:
+            del self.open[letter]
+            heapq.heappop(self.letters)
+        return items
 
     def least(self) -> int:
-        """The least item, -1 if there is none."""
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            return self.heads[0][0]
-        return self.heap[0] if self.heap else -1
-
-    def pop(self) -> int:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            item, run = self.heads[0]
-            following = next(self.runs[run], None)
-            if following is None:
-                heapq.heappop(self.heads)
-            else:
-                heapq.heapreplace(self.heads, (following, run))
-            return item
-        return heapq.heappop(self.heap)
+        """The least letter that has items, -1 if there is none."""
+        return self.letters[0] if self.letters else -1
 
 
-class Minima:
-    """Least value since any earlier step of a pass."""
+TOP_LETTER = 0x10FFFF
 
-    def __init__(self):
-        self.at: list[int] = []
-        self.value: list[int] = []
 
-    def add(self, step: int, value: int) -> None:
-        while self.value and self.value[-1] >= value:
-            self.value.pop()
-            self.at.pop()
-        self.at.append(step)
-        self.value.append(value)
+def _pass(codes: list[int], types: bytes, wanted: int, cap: int, queue: DiskQueue):
+    """One pass of induction: a function that takes the suffixes in the order they come out.
 
-    def since(self, step: int) -> int:
-        """The least value of the steps after `step`."""
-        return self.value[bisect_right(self.at, step)]
+    Each with the letters it shares with the one before it; it queues the suffixes of the wanted
+    type before them, with what these share with the last one queued of their letter.
+    """
+    step = 0
+    last: dict[int, int] = {}
+    # Rising minima of what neighbours share, by step.
+    at: list[int] = []
+    least: list[int] = []
+    rows, limit, push = queue.open, queue.limit, queue.push
+    seen_at = last.get
+
+    def give_order(here: int, common: int) -> None:
+        if here and types[here - 1] == wanted:
+            push(codes[here - 1], here - 1 << SHARED_BITS)
+
+    def give(here: int, common: int) -> None:
+        nonlocal step
+        while least and least[-1] >= common:
+            least.pop()
+            at.pop()
+        at.append(step)
+        least.append(common)
+        if here:
+            before = here - 1
+            if types[before] == wanted:
+                letter = codes[before]
+                seen = seen_at(letter)
+                last[letter] = step
+                item = before << SHARED_BITS
+                if seen is not None:
+                    # One letter more than their sources share.
+                    carried = least[bisect_right(at, seen)] + 1
+                    item |= carried if carried < cap else cap
+                row = rows.get(letter)
+                if row is not None and len(row) + 1 < limit:
+                    row.append(item)
+                else:
+                    push(letter, item)
+        step += 1
+
+    return give if cap else give_order
 
 
 def _types(text: str) -> np.ndarray:
@@ -151,87 +175,79 @@ def suffixes(text: str, cap: int, limit: int = QUEUE_ITEMS) -> tuple[array, arra
     if not stars:
         return array("q", range(n - 1, -1, -1)), array("q", bytes(8 * n))
     types = rising.tobytes()
+    codes = list(map(ord, text))
     order = _sorted_stars(text, stars, limit)
     shared = [0] + [_common(text, a, b, cap) if cap else 0 for a, b in zip(order, order[1:])]
-    lows, low_shared = _forward(text, types, order, shared, cap, limit)
-    return _backward(text, types, lows, low_shared, cap, limit)
+    lows, low_shared = _forward(text, codes, types, order, shared, cap, limit)
+    return _backward(text, codes, types, lows, low_shared, cap, limit)
 
 
-def _forward(text, types, order, shared, cap, limit):
+def _forward(text, codes, types, order, shared, cap, limit):
     """All L suffixes in order, from the S* suffixes; each with what it shares with the last L."""
     lows, low_shared = array("q"), array("q")
-    queue, minima, last = DiskQueue(limit), Minima(), {}
-    sequence = step = at = 0
-    count = len(order)
-    letter, after_low, place = "", False, -1
+    queue = DiskQueue(limit)
+    give = _pass(codes, types, 0, cap, queue)
+    at, count = 0, len(order)
     while True:
-        least = queue.least()
-        if at == count and least < 0:
+        code = queue.least()
+        if at < count and (code < 0 or codes[order[at]] < code):
+            code = codes[order[at]]
+        if code < 0:
             return lows, low_shared
-        if least >= 0 and (at == count or least >> PLACE_AND_ORDER <= ord(text[order[at]])):
-            item = queue.pop()
-            here, common = item >> SHARED_BITS & PLACE_MASK, item & SHARED_MASK
-            lows.append(here)
-            low_shared.append(common)
-            low = True
-        else:
+        place = -1
+        while queue.least() == code:
+            for item in queue.take(code):
+                place = item >> SHARED_BITS
+                common = item & SHARED_MASK
+                lows.append(place)
+                low_shared.append(common)
+                give(place, common)
+        first = True
+        while at < count and codes[order[at]] == code:
             here = order[at]
-            same = cap and text[here] == letter
-            common = (_common(text, place, here, cap) if after_low else shared[at]) if same else 0
+            if not first:
+                common = shared[at]
+            else:
+                common = _common(text, place, here, cap) if cap and place >= 0 else 0
+            first = False
+            give(here, common)
             at += 1
-            low = False
-        letter, after_low, place = text[here], low, here
-        if cap:
-            minima.add(step, common)
-        if here and not types[here - 1]:
-            before = text[here - 1]
-            carried = 0
-            if cap:
-                seen = last.get(before)
-                carried = min(cap, 1 + minima.since(seen)) if seen is not None else 0
-                last[before] = step
-            queue.push(_item(ord(before), sequence, here - 1, carried))
-            sequence += 1
-        step += 1
 
 
-def _backward(text, types, lows, low_shared, cap, limit):
+def _backward(text, codes, types, lows, low_shared, cap, limit):
     """All suffixes in order, S suffixes induced from the last to the first."""
     n = len(text)
     order, common_next = array("q"), array("q")
-    queue, minima, last = DiskQueue(limit), Minima(), {}
-    sequence = step = 0
+    queue = DiskQueue(limit)
+    flipped = [TOP_LETTER - c for c in codes]  # the greatest letter comes first
+    give = _pass(flipped, types, 1, cap, queue)
     at = len(lows) - 1
-    letter, after_low, place = "", False, -1
     while True:
-        least = queue.least()
-        if at < 0 and least < 0:
+        code = queue.least()
+        if at >= 0 and (code < 0 or flipped[lows[at]] < code):
+            code = flipped[lows[at]]
+        if code < 0:
             break
-        if least >= 0 and (at < 0 or TOP_LETTER - (least >> PLACE_AND_ORDER) >= ord(text[lows[at]])):
-            item = queue.pop()
-            here, common = item >> SHARED_BITS & PLACE_MASK, item & SHARED_MASK
-            low = False
-        else:
+        place = -1
+        while queue.least() == code:
+            for item in queue.take(code):
+                place = item >> SHARED_BITS
+                common = item & SHARED_MASK
+                order.append(place)
+                common_next.append(common)
+                give(place, common)
+        first = True
+        while at >= 0 and flipped[lows[at]] == code:
             here = lows[at]
-            same = cap and text[here] == letter
-            common = (low_shared[at + 1] if after_low else _common(text, here, place, cap)) if same else 0
+            if not first:
+                common = low_shared[at + 1]
+            else:
+                common = _common(text, here, place, cap) if cap and place >= 0 else 0
+            first = False
+            order.append(here)
+            common_next.append(common)
+            give(here, common)
             at -= 1
-            low = True
-        letter, after_low, place = text[here], low, here
-        order.append(here)
-        common_next.append(common)
-        if cap:
-            minima.add(step, common)
-        if here and types[here - 1]:
-            before = text[here - 1]
-            carried = 0
-            if cap:
-                seen = last.get(before)
-                carried = min(cap, 1 + minima.since(seen)) if seen is not None else 0
-                last[before] = step
-            queue.push(_item(TOP_LETTER - ord(before), sequence, here - 1, carried))
-            sequence += 1
-        step += 1
     # The least suffix, the last letter alone, comes first and shares nothing.
     order.append(n - 1)
     order.reverse()

@@ -31,7 +31,7 @@ from newsloom.llm.common import arrow_rows, documents_of, stored
 from newsloom.llm.induced_sort import suffixes
 
 LENGTH = 400
-GRAM = 128
+GRAM = 64
 # Contexts of a group that one shard takes, and bytes of a shard, about.
 GROUP_ROWS = 2_048
 SHARD_BYTES = 1_000_000
