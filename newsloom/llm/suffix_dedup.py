@@ -31,10 +31,10 @@ from newsloom.llm.common import arrow_rows, documents_of, stored
 from newsloom.llm.induced_sort import suffixes
 
 LENGTH = 400
-GRAM = 64
+GRAM = 200
 # Contexts of a group that one shard takes, and bytes of a shard, about.
-GROUP_ROWS = 2_048
-SHARD_BYTES = 1_000_000
+GROUP_ROWS = 1_024
+SHARD_BYTES = 500_000
 
 BASE = 0x9E3779B97F4A7C15
 PLACE_BITS = 28
@@ -123,7 +123,7 @@ def _contexts(docs: DataFrame, groups: DataFrame) -> DataFrame:
                         column.append(value)
             yield out
 
-    return arrow_rows(docs.join(wanted, "row"), task, CONTEXT_SCHEMA)
+    return stored(arrow_rows(docs.join(wanted, "row"), task, CONTEXT_SCHEMA), "dedup-contexts")
 
 
 CONTEXT_SCHEMA = (
@@ -163,6 +163,12 @@ def split_groups(contexts: DataFrame) -> DataFrame:
     return arrow_rows(contexts, task, CONTEXT_SCHEMA)
 
 
+def _open_groups(contexts: DataFrame) -> DataFrame:
+    """The groups with several contexts, of which at least one has no copy of its own."""
+    sizes = contexts.groupBy("key").agg(F.count("*").alias("n"), F.min("copies").alias("fewest"))
+    return contexts.join(stored(sizes.filter("n > 1 and fewest = 1").select("key"), "dedup-open"), "key")
+
+
 def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     """For each context the windows that also start elsewhere in these contexts, as booleans."""
     if not contexts:
@@ -221,12 +227,12 @@ def _sorted_shards(contexts: DataFrame) -> DataFrame:
 def find_repeats(docs: DataFrame) -> DataFrame:
     """(row, start, stop): byte ranges of repeated windows, which may overlap."""
     found = stored(find_anchors(docs), "dedup-anchors")
-    often = found.groupBy("h").agg(
+    often = stored(found.groupBy("h").agg(
         F.count("*").alias("n"), F.min("u1").alias("least"), F.max("u1").alias("most"),
         F.min("u2").alias("least2"), F.max("u2").alias("most2"),
     ).filter("n > 1").select(
         "h", ((F.col("least") == F.col("most")) & (F.col("least2") == F.col("most2"))).alias("alike")
-    )
+    ), "dedup-repeated-hashes")
     again = stored(found.join(often, "h"), "dedup-repeated-anchors")
     stop = (F.col("hi") - 1 + LENGTH).alias("stop")
     alike = again.filter("alike").select("row", F.col("lo").alias("start"), stop)
@@ -241,9 +247,11 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     copied = groups.filter("copies > 1").select("h", "u1", "u2")
     copied = mixed.join(copied, ["h", "u1", "u2"]).select("row", F.col("lo").alias("start"), stop)
 
-    contexts = stored(_contexts(docs, groups), "dedup-contexts")
+    # Halving once for all groups leaves fewer to sort: many share little more than their anchor.
+    contexts = stored(split_groups(_open_groups(_contexts(docs, groups))), "dedup-contexts")
     ready, equal = [], []
     while True:
+        contexts = _open_groups(contexts)
         sizes = contexts.groupBy("key").agg(F.count("*").alias("n"))
         large = stored(sizes.filter(F.col("n") > GROUP_ROWS).select("key"), "dedup-large")
         if large.isEmpty():
