@@ -143,7 +143,9 @@ def _gains(rest: np.ndarray, out: np.ndarray, into: np.ndarray, twice: float, mo
     # A class's own cell takes part in its row and its column; it is one cell.
     gain += _log(same + out[:movable] + into[:movable] + twice)
     gain += _log(same) - _log(same + out[:movable]) - _log(same + into[:movable])
-    for sums, more in ((rest.sum(axis=1), out.sum() + twice), (rest.sum(axis=0), into.sum() + twice)):
+    # Whichever class it joins, classes before and after it count it in their sums.
+    rows_sum, cols_sum = rest.sum(axis=1) + into, rest.sum(axis=0) + out
+    for sums, more in ((rows_sum, out.sum() + twice), (cols_sum, into.sum() + twice)):
         gain -= _log(sums[:movable] + more) - _log(sums[:movable])
     return gain
 
