@@ -105,17 +105,21 @@ class Lexicon:
     ) -> Lexicon:
         """From `labels(label_ord, label)` and `lexicon(label, keyword_ord, keyword)` tables.
 
-        Both are fetched only up to the size limit, which `__init__` then enforces.
+        Both are fetched only up to the size limit; beyond it this is an error.
         """
         named = [
             row["label"] for row in labels.orderBy("label_ord").limit(MAX_PHRASES + 1).collect()
         ]
+        if len(named) > MAX_PHRASES:
+            raise ValueError(f"more than {MAX_PHRASES} labels")
         rows = (
             phrases.filter(F.col("label").isin(named))
             .select("label", "keyword_ord", "keyword")
             .limit(MAX_PHRASES + 1)
             .collect()
         )
+        if len(rows) > MAX_PHRASES:
+            raise ValueError(f"more than {MAX_PHRASES} phrases")
         found: dict[str, list[tuple[int, str]]] = {}
         for row in rows:
             found.setdefault(row["label"], []).append((row["keyword_ord"], row["keyword"]))

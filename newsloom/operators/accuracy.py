@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def score_cases(predicted: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Cases with `category`, `expected` and whether they agree."""
-    joined = predicted.select(key, "category", "confidence").join(expected, key)
-    correct = F.col("category") == F.col("expected")
+    """All expected cases with `category` and whether it agrees; one without prediction is wrong."""
+    joined = expected.join(predicted.select(key, "category", "confidence"), key, "left")
+    correct = F.coalesce(F.col("category") == F.col("expected"), F.lit(False))
     return joined.withColumns({
         "correct": correct, "mark": F.when(correct, "✓").otherwise("✗")
     })

@@ -60,7 +60,7 @@ def head_n(headlines: DataFrame, n: int = config.MAX_HEADLINES) -> DataFrame:
     return headlines.orderBy("row_ord").limit(n)
 
 
-def select_articles(articles: DataFrame, max_articles: int | None = config.MAX_ARTICLES) -> DataFrame:
+def select_articles(articles: DataFrame, max_articles: int | None = None) -> DataFrame:
     """URL filter, dedup across feeds, then the newest `max_articles`; None keeps all."""
     kept = dedup_url(with_url(articles))
     return kept if max_articles is None else top_n_articles(kept, max_articles)

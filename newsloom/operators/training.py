@@ -41,7 +41,7 @@ def keyword_topic_filter(
 
 def topic_headlines(
     raw: DataFrame,
-    n: int | None = config.MAX_HEADLINES,
+    n: int | None = None,
     keywords: tuple[str, ...] = config.TOPIC_KEYWORDS,
     require_rows: bool = False,
 ) -> DataFrame:

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from newsloom import config
 from newsloom.lexicon import Lexicon
 from newsloom.operators.normalize import normalize_entries, with_empty_enrichment
 from newsloom.operators.select import newest_first, select_articles
@@ -28,7 +27,7 @@ def enrich_articles(
     responses: DataFrame | None,
     lexicon: Lexicon,
     as_of: datetime,
-    max_articles: int | None = config.MAX_ARTICLES,
+    max_articles: int | None = None,
 ) -> DataFrame:
     """Entries, page sources and model responses to enriched articles.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,14 +32,11 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder for `purpose` below the cluster's `spark.checkpoint.dir`.
+    """A new folder for `purpose` below `spark.checkpoint.dir`, or else below the warehouse.
 
-    Only a local master may fall back to a temporary folder: executors on other
-    machines would not see it.
+    Both are folders that all executors reach.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="newsloom-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -34,14 +34,17 @@ def stream_table(
 def dedup_stream(articles: DataFrame, delay: str = "30 days") -> DataFrame:
     """One article per URL while its watermark lasts.
 
-    State is bounded by `delay`. Which of several copies in one batch survives is open, and
-    articles published more than `delay` before the newest seen one count as late. Use
-    `ingest_batch` where neither is acceptable.
+    Event time is the time of arrival, so no article is late, whenever it was published and
+    however files are spread over batches; state is bounded by `delay`, after which a URL may
+    come again. Which of several copies in one batch survives is open. Use `ingest_batch` where
+    neither is acceptable.
     """
     return (
         with_url(articles)
-        .withWatermark("published", delay)
+        .withColumn("arrived", F.current_timestamp())
+        .withWatermark("arrived", delay)
         .dropDuplicatesWithinWatermark(["url"])
+        .drop("arrived")
     )
 
 
