@@ -28,6 +28,8 @@ SEED = 42
 # A leaf table of the index holds at most this many fingerprints, an upper node 16 times fewer.
 LEAF = 2_048
 FANOUT = 16
+# Node pairs opened at a time, so that a leaf never has all pairs of its members in memory.
+OPENED = 1_024
 CHUNK = 1 << 16
 
 
@@ -206,43 +208,47 @@ def leaf_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     alone = right is None
     other = left if alone else right
     base = 0 if alone else len(left)
-    found_a, found_b = [], []
-    size = FANOUT * FANOUT
-    rows = np.arange(-(-len(left) // size))
-    cols = np.arange(-(-len(other) // size))
-    a, b = (g.ravel() for g in np.meshgrid(rows, cols, indexing="ij"))
-    while True:
+    root = np.arange(base + len(other))
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root
+        held = np.flatnonzero(root != np.arange(len(root)))
+        root = _roots(len(root), np.concatenate([held, a]), np.concatenate([root[held], b]))
+
+    def walk(a: np.ndarray, b: np.ndarray, size: int) -> None:
+        """Links the members of node pairs; opens at most OPENED pairs at a time."""
         if alone:
             keep = a <= b
             a, b = a[keep], b[keep]
         ones_l, any_l = _nodes(left, size)
         ones_r, any_r = _nodes(other, size)
         apart = (ones_l[a] & ~any_r[b]) | (ones_r[b] & ~any_l[a])
-        least = np.bitwise_count(apart)
-        near = least <= radius
+        near = np.bitwise_count(apart) <= radius
         a, b = a[near], b[near]
         if size == 1:
-            found_a.append(a)
-            found_b.append(b + base)
-            break
+            if len(a):
+                join(a, b + base)
+            return
         open_bits = (any_l[a] | any_r[b]) & ~(ones_l[a] & ones_r[b])
         whole = np.bitwise_count(open_bits) <= radius
         for i, j in zip(a[whole].tolist(), b[whole].tolist()):
             mine = np.arange(i * size, min(len(left), (i + 1) * size))
             theirs = np.arange(j * size, min(len(other), (j + 1) * size)) + base
             members = np.concatenate([mine, theirs])
-            found_a.append(np.full(len(members), members[0]))
-            found_b.append(members)
+            join(np.full(len(members), members[0]), members)
         a, b = a[~whole], b[~whole]
-        size //= FANOUT
+        lower = size // FANOUT
         step = np.arange(FANOUT)
-        a = np.repeat((a[:, None] * FANOUT + step).ravel(), FANOUT)
-        b = np.tile((b[:, None] * FANOUT + step), FANOUT).ravel()
-        inside = (a * size < len(left)) & (b * size < len(other))
-        a, b = a[inside], b[inside]
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    differ = a != b
-    root = _roots(base + len(other), a[differ], b[differ])
+        for at in range(0, len(a), OPENED):
+            mine = np.repeat((a[at : at + OPENED, None] * FANOUT + step).ravel(), FANOUT)
+            theirs = np.tile(b[at : at + OPENED, None] * FANOUT + step, FANOUT).ravel()
+            inside = (mine * lower < len(left)) & (theirs * lower < len(other))
+            walk(mine[inside], theirs[inside], lower)
+
+    size = FANOUT * FANOUT
+    rows = np.arange(-(-len(left) // size))
+    cols = np.arange(-(-len(other) // size))
+    walk(*(g.ravel() for g in np.meshgrid(rows, cols, indexing="ij")), size)
     linked = np.flatnonzero(root != np.arange(len(root)))
     return linked, root[linked]
 
