@@ -39,8 +39,16 @@ RATE_LIMIT_MARKS = (
     "429", "quota", "rate limit", "resource_exhausted", "resource exhausted", "too many requests",
 )
 NOT_FOUND_MARKS = ("model not found", "404")
+SUMMARY_MARKS = (r"\*{1,2}([^*]+)\*{1,2}", "_{1,2}([^_]+)_{1,2}", "`([^`]+)`")
+HEADING_MARK = "#{1,6}"
+NUMBER_MARK = r"\p{Nd}+[.)]"
+BULLET_MARK = "[-•*]"
+SENTENCE_END = "[.!?]"
 # End of fixed values.
 
+# Widest bar of a distribution, in blocks; longer ones are scaled down together.
+BAR_WIDTH = 1000
+
 # Names written to `summary_source`, `body_source` and read from `responses.model`.
 FROM_MODEL = "model"
 FROM_FALLBACK = "fallback"

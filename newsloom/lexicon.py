@@ -19,41 +19,42 @@ from newsloom import config
 MAX_PHRASES = 5000
 
 
-def _list(text: str) -> tuple[str, ...]:
-    return tuple(phrase.strip() for phrase in text.split(";"))
-
-
+# Subject headings in the manner of a library catalogue.
 DEFAULT_PHRASES: dict[str, tuple[str, ...]] = {
-    "Technology": _list("""
-        ai; robot; chip; gpu; cloud; laptop; phone; browser; android; linux; encryption; malware;
-        server; database; developer; algorithm; machine learning; neural network; data center;
-        open-source; operating system; quantum; satellite; semiconductor; wearable; chatbot;
-        source code; web app; bandwidth; virtual reality; large language model
-    """),
-    "Business": _list("""
-        bank; profit; revenue; merger; investor; shares; ipo; inflation; retail; earnings; ceo;
-        bond; dividend; invoice; export; tariff; interest rate; stock market; supply chain;
-        venture capital; private equity; quarter results; takeover; hedge fund; wholesale;
-        unicorn; bankruptcy; contract; loss; e-commerce
-    """),
-    "Politics": _list("""
-        un; eu; vote; senate; minister; treaty; ballot; cabinet; coalition; mayor; embassy;
-        governor; congress; sanction; referendum; diplomat; border; campaign trail; prime minister;
-        foreign policy; supreme court; white house; head of state; lawmaker; opposition;
-        tariff; legislation; constitution; asylum; protest
-    """),
-    "Sports": _list("""
-        goal; coach; league; match; tennis; rugby; golf; stadium; medal; olympic; striker; batting;
-        wicket; marathon; sprint; referee; playoff; world cup; grand slam; free kick; home run;
-        penalty shootout; man of the match; half-time; transfer window; season; game; contract;
-        loss; quarterback
-    """),
-    "Entertainment": _list("""
-        film; movie; actor; singer; album; concert; drama; comedy; celebrity; theatre; premiere;
-        trailer; sequel; director; festival; soundtrack; box office; red carpet; reality show;
-        music video; award ceremony; director of photography; k-pop; streaming; season; game;
-        episode; novel; ballet; costume
-    """),
+    "Technology": (
+        "compiler", "firmware", "microprocessor", "transistor", "router", "broadband",
+        "spreadsheet", "keyboard", "password", "cryptography", "debugging", "source repository",
+        "file system", "touch screen", "printed circuit", "fibre optic", "solar cell",
+        "lithium battery", "3d printer", "drone", "telescope", "spacecraft", "search engine",
+        "web browser", "email client", "video codec", "image sensor", "speech recognition",
+        "computer vision", "patent", "platform",
+    ),
+    "Business": (
+        "accountant", "audit", "balance sheet", "payroll", "factory", "warehouse", "freight",
+        "wages", "mortgage", "insurance", "premium", "commodity", "currency", "exchange rate",
+        "creditor", "shareholder", "stock exchange", "franchise", "procurement", "tender",
+        "turnover", "surplus", "layoffs", "trade union", "consumer prices", "cash flow",
+        "joint venture", "patent", "sponsor", "auction",
+    ),
+    "Politics": (
+        "parliament", "republic", "monarchy", "electorate", "polling station", "by-election",
+        "manifesto", "ombudsman", "civil service", "attorney general", "chancellor", "ambassador",
+        "consulate", "ceasefire", "armistice", "human rights", "immigration", "devolution",
+        "federalism", "municipal", "town hall", "public inquiry", "veto", "impeachment",
+        "lobbying", "welfare", "trade union", "census", "statute", "platform",
+    ),
+    "Sports": (
+        "athlete", "archery", "badminton", "boxing", "canoe", "cricket", "cycling", "decathlon",
+        "fencing", "gymnast", "handball", "hockey", "hurdles", "javelin", "judo", "lacrosse",
+        "regatta", "relay", "rowing", "shot put", "skiing", "snooker", "swimming pool",
+        "time trial", "volleyball", "weightlifting", "goalkeeper", "scoreboard", "sponsor", "draw",
+    ),
+    "Entertainment": (
+        "actress", "animation", "audience", "ballad", "cabaret", "carnival", "choir",
+        "choreography", "circus", "documentary", "exhibition", "guitar", "jazz", "magician",
+        "museum", "musical", "orchestra", "opera", "painter", "pantomime", "playwright", "poetry",
+        "puppet", "screenplay", "sculpture", "sitcom", "soprano", "symphony", "auction", "draw",
+    ),
 }
 
 

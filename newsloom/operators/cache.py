@@ -11,7 +11,8 @@ CACHE_COLUMNS = ("url", "summary", "summary_source", "body_source", "version")
 
 
 def cache_key() -> Column:
-    return F.coalesce(F.col("url"), F.col("title"))
+    """The URL, or the title of an article without one."""
+    return F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("title"))
 
 
 def pending(articles: DataFrame, cache: DataFrame) -> DataFrame:

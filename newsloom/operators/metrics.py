@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom import config
@@ -20,16 +20,23 @@ def overview_metrics(articles: DataFrame) -> DataFrame:
     ).withColumn("summarised", F.format_string("%d/%d", "summaries", "articles"))
 
 
-def category_distribution(articles: DataFrame) -> DataFrame:
-    """Articles per category, most common first, ties by the newest article; with a block bar."""
+def category_distribution(articles: DataFrame, width: int = config.BAR_WIDTH) -> DataFrame:
+    """Articles per category, most common first, ties by the newest article; with a block bar.
+
+    A bar has a block per article. Beyond `width` blocks all bars are scaled to that width.
+    """
     newest = F.struct(
         (-F.unix_micros("published")).alias("t"), F.col("feed_ord"), F.col("entry_ord")
     )
     counted = articles.groupBy(
         F.coalesce(F.col("category"), F.lit(config.UNKNOWN)).alias("category")
     ).agg(F.count("*").alias("n_articles"), F.min(newest).alias("_first"))
-    ordered = counted.orderBy(F.col("n_articles").desc(), "_first").drop("_first")
-    return ordered.withColumn("bar", F.repeat(F.lit("█"), F.col("n_articles").cast("int")))
+    # One row per category is left here, so a window over all of them is small.
+    top = F.max("n_articles").over(Window.partitionBy())
+    scaled = F.ceil(F.col("n_articles") * F.lit(float(width)) / F.col("_top"))
+    blocks = F.when(F.col("_top") <= width, F.col("n_articles")).otherwise(scaled)
+    barred = counted.withColumn("_top", top).withColumn("bar", F.repeat(F.lit("█"), blocks.cast("int")))
+    return barred.orderBy(F.col("n_articles").desc(), "_first").drop("_first", "_top")
 
 
 def summary_source_counts(articles: DataFrame) -> DataFrame:
@@ -58,8 +65,10 @@ def tab_counts(articles: DataFrame, labels: Sequence[str] = config.LABELS) -> Da
 
 
 def feed_ingest_report(feeds: DataFrame, articles: DataFrame) -> DataFrame:
-    """Per feed of the registry: entries, those without URL, repeats of an earlier entry, kept.
+    """Per feed: entries, those without URL, repeats of an earlier entry, kept.
 
+    Feeds that the registry has as enabled are listed with or without entries, feeds that it
+    lacks when they have entries, as `unregistered`; disabled ones are left out.
     `articles` are normalised entries before selection. The first entry of each URL is found
     by one aggregation over narrow rows.
     """
@@ -75,11 +84,12 @@ def feed_ingest_report(feeds: DataFrame, articles: DataFrame) -> DataFrame:
     )
     zero = F.lit(0)
     counted = (
-        feeds.filter("enabled")
-        .join(seen, "feed_ord", "left")
+        feeds.withColumn("_registered", F.lit(True))
+        .join(seen, "feed_ord", "full")
+        .filter("_registered is null or enabled")
         .join(firsts, "feed_ord", "left")
         .select(
-            "feed_ord", "source", "http_status",
+            "feed_ord", "source", "http_status", "_registered",
             F.coalesce("retrieved", zero).alias("retrieved"),
             F.coalesce("no_url", zero).alias("no_url"),
             F.coalesce("kept", zero).alias("kept"),
@@ -87,7 +97,8 @@ def feed_ingest_report(feeds: DataFrame, articles: DataFrame) -> DataFrame:
     )
     blocked = F.coalesce(F.col("http_status"), zero) >= 400
     status = (
-        F.when(blocked & (F.col("retrieved") == 0), "skipped")
+        F.when(F.col("_registered").isNull(), "unregistered")
+        .when(blocked & (F.col("retrieved") == 0), "skipped")
         .when(F.col("retrieved") == 0, "empty")
         .when(blocked, "kept_despite_error")
         .otherwise("ok")
@@ -95,7 +106,7 @@ def feed_ingest_report(feeds: DataFrame, articles: DataFrame) -> DataFrame:
     return counted.withColumns({
         "duplicates": F.col("retrieved") - F.col("no_url") - F.col("kept"),
         "status": status,
-    })
+    }).drop("_registered")
 
 
 def stage_row_counts(articles: DataFrame, enriched: DataFrame) -> DataFrame:

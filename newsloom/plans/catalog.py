@@ -86,14 +86,14 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.page_bodies(tables.web_pages(spark, sf_dir))
 
 
-def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _enriched(spark: SparkSession, sf_dir: str, max_articles: int | None = None) -> DataFrame:
     return enrich_articles(
         tables.entries(spark, sf_dir),
         tables.web_pages(spark, sf_dir),
         tables.responses(spark, sf_dir),
         default_lexicon(),
         tables.AS_OF,
-        max_articles=None,
+        max_articles,
     )
 
 
@@ -358,8 +358,8 @@ def attempt_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def clean_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns with markup put around their first words."""
-    chat = tables.load(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    """All turns, with markup put around their sentences."""
+    chat = tables.load(spark, sf_dir, "conversations")
     marked = F.concat(
         F.lit("### Notes_on `it`\r\n 1. **"), F.replace(F.col("text"), F.lit(". "), F.lit("**\n - *")),
         F.lit("*\n\n • __end__\t of_it_all"),
@@ -559,6 +559,14 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The whole flow
 
 
+@_query
+def enriched_top_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow for the newest articles only."""
+    return _enriched(spark, sf_dir, config.MAX_ARTICLES).select(
+        *KEY, "url", "title", _when(), "category", "summary", "body_source",
+    )
+
+
 @_query
 def enriched_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _enriched(spark, sf_dir).select(

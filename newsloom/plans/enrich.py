@@ -5,19 +5,28 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from newsloom.functions.arrays import add_once
 from newsloom.lexicon import Lexicon
 from newsloom.operators.normalize import normalize_entries, with_empty_enrichment
 from newsloom.operators.select import newest_first, select_articles
 from newsloom.operators.summaries import page_bodies, resolve_responses, summarize_articles
 from newsloom.operators.topics import classify_articles
 
+# A cut of at most this many articles is small enough to broadcast its URLs.
+BROADCAST_ARTICLES = 10_000
+
 
 def classified_articles(
     entries: DataFrame, lexicon: Lexicon, as_of: datetime, max_articles: int | None = None
 ) -> DataFrame:
     """Entries to deduplicated, classified articles."""
     articles = select_articles(normalize_entries(entries, as_of), max_articles)
+    if max_articles is not None:
+        # Text projections must not slip below the limit, where they would run for every row
+        # and keep it from being a heap per task.
+        articles = add_once(articles, title=F.col("title"))
     return classify_articles(with_empty_enrichment(articles), lexicon)
 
 
@@ -36,6 +45,14 @@ def enrich_articles(
     stages then all work on one partitioning by `url`.
     """
     classified = classified_articles(entries, lexicon, as_of, max_articles)
+    if max_articles is not None and max_articles <= BROADCAST_ARTICLES:
+        # Pages and responses of other articles are left out before they are parsed.
+        urls = F.broadcast(
+            select_articles(normalize_entries(entries, as_of), max_articles).select("url")
+        )
+        pages = pages.join(urls, "url", "left_semi")
+        if responses is not None:
+            responses = responses.join(urls, "url", "left_semi")
     resolved = None if responses is None else resolve_responses(responses)
     enriched = summarize_articles(classified, page_bodies(pages), resolved)
     return enriched if max_articles is None else newest_first(enriched)

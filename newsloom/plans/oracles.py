@@ -62,17 +62,17 @@ def lines_of(x: str) -> str:
 
 
 def clean_summary(x: str) -> str:
-    for mark in (r"\*{1,2}([^*]+)\*{1,2}", "_{1,2}([^_]+)_{1,2}", "`([^`]+)`"):
+    for mark in config.SUMMARY_MARKS:
         x = gsub(x, mark, r"'\1'")
-    x = gsub(x, f"#{{1,6}}{WS}*", "''")
-    line = f"regexp_replace(regexp_replace(ln, {s(f'^{WS}*' + r'\p{Nd}+[.)]' + f'{WS}+')}, ''), {s(f'^{WS}*[-•*]{WS}+')}, '')"
+    x = gsub(x, f"{config.HEADING_MARK}{WS}*", "''")
+    line = f"regexp_replace(regexp_replace(ln, {s(f'^{WS}*{config.NUMBER_MARK}{WS}+')}, ''), {s(f'^{WS}*{config.BULLET_MARK}{WS}+')}, '')"
     x = f"array_to_string([{line} for ln in string_split_regex({x}, {s(LINE_BREAK)})], chr(10))"
     blocks = f"[{squeeze('bl')} for bl in string_split_regex({x}, {s(rf'\n{WS}*\n')})]"
     return f"array_to_string([bk for bk in {blocks} if bk <> ''], chr(10) || chr(10))"
 
 
 def fallback(x: str) -> str:
-    marked = gsub(strip(x), rf"([.!?]){WS}+", r"'\1' || chr(31)")
+    marked = gsub(strip(x), f"({config.SENTENCE_END}){WS}+", r"'\1' || chr(31)")
     parts = f"[{strip('pt')} for pt in string_split({marked}, chr(31))]"
     kept = f"array_to_string([sn for sn in {parts} if length(sn) > 15], chr(10) || chr(10))"
     return (
@@ -136,7 +136,7 @@ _cte("page_entries", (), f"""
 select 1000 as feed_ord, page_id as entry_ord,
   regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as source,
   regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title,
-  regexp_extract(html, '(?is)<p>(.*?)</p>', 1) as summary, cast(null as varchar) as description,
+  html as summary, cast(null as varchar) as description,
   {PAGE_URL} as link, cast(null as varchar) as first_href,
   strftime({event_time('page_id')}, '%Y-%m-%dT%H:%M:%SZ') as published,
   cast(null as varchar) as updated
@@ -331,9 +331,9 @@ _cte("cache_", (), f"""
 select {story('doc_id')} as url, 'cached ' || cast(doc_id as varchar) as summary,
   case when quality = 1 then 'model' else 'fallback' end as summary_source,
   'rss_description' as body_source, doc_id % 3 as version from labels""")
-_cte("headlines_", (), f"""
-select doc_id as row_ord, {FIRST_LINE} as text, lang || '.' || source as category from documents
-where doc_id % 23 <> 0 and doc_id % 29 <> 0 and text is not null and lang is not null and source is not null""")
+_cte("headlines_", (), """
+select doc_id as row_ord, text, lang || '.' || source as category from documents
+where text is not null and lang is not null and source is not null""")
 _cte("topic_rows", ("headlines_",), f"""
 select * from headlines_ where {has_any('lower(category)', config.TOPIC_KEYWORDS)}
   or {has_any('lower(text)', config.TOPIC_KEYWORDS)}""")
@@ -384,16 +384,16 @@ VERDICT = "category, confidence, ranking, top_score"
 def oracles() -> dict[str, str]:
     bodies = {
         "feed_ingest_report": """
-select f.feed_ord, f.source, http_status, coalesce(retrieved, 0) as retrieved, coalesce(no_url, 0) as no_url,
+select coalesce(f.feed_ord, a.feed_ord) as feed_ord, f.source, http_status, coalesce(retrieved, 0) as retrieved, coalesce(no_url, 0) as no_url,
   coalesce(n_kept, 0) as kept, coalesce(retrieved, 0) - coalesce(no_url, 0) - coalesce(n_kept, 0) as duplicates,
-  case when http_status >= 400 and coalesce(retrieved, 0) = 0 then 'skipped'
+  case when f.feed_ord is null then 'unregistered' when http_status >= 400 and coalesce(retrieved, 0) = 0 then 'skipped'
     when coalesce(retrieved, 0) = 0 then 'empty' when http_status >= 400 then 'kept_despite_error'
     else 'ok' end as status
 from (select source, ford as feed_ord, case when ford % 5 = 1 then 403 else 200 end as http_status
     from (select distinct source, cast(regexp_extract(source, '([0-9]+)$', 1) as int) as ford from documents)) f
-left join (select feed_ord, count(*) as retrieved, count(*) filter (url = '') as no_url
+full join (select feed_ord, count(*) as retrieved, count(*) filter (url = '') as no_url
   from articles group by 1) a on a.feed_ord = f.feed_ord
-left join (select feed_ord, count(*) as n_kept from kept group by 1) k on k.feed_ord = f.feed_ord""",
+left join (select feed_ord, count(*) as n_kept from kept group by 1) k on k.feed_ord = a.feed_ord""",
         "sink_roundtrip": f"select url, {VERDICT} from kept_s_classified",
         "feed_xml_entries": f"""
 select feed_ord, source, title, description, url, {when_text('published')} as published
@@ -452,7 +452,7 @@ from chosen where length(body) > 0""",
         "resolve_responses": "select * from resolved",
         "attempt_error_classes": """
 select error_class, count(*) as n_attempts from classed where error_text is not null group by 1""",
-        "clean_summary": "select conv_id, turn, {} as summary from conversations where role = 'assistant'".format(
+        "clean_summary": "select conv_id, turn, {} as summary from conversations".format(
             clean_summary(
                 "('### Notes_on `it`' || chr(13) || chr(10) || ' 1. **' || replace(text, '. ', '**' || chr(10) "
                 "|| ' - *') || '*' || chr(10) || chr(10) || ' • __end__' || chr(9) || ' of_it_all')"
@@ -495,7 +495,8 @@ select count(*) as articles, count(distinct category) as categories,
   round(avg(confidence), {DIGITS}) as mean_confidence, count(summary) as summaries,
   cast(count(summary) as varchar) || '/' || cast(count(*) as varchar) as summarised from enriched""",
         "category_distribution": """
-select category, count(*) as n_articles, repeat('█', cast(count(*) as int)) as bar
+select category, count(*) as n_articles, repeat('█', cast(case when max(count(*)) over () <= 1000 then count(*)
+  else ceil(count(*) * 1000.0 / max(count(*)) over ()) end as int)) as bar
 from kept_s_classified group by category""",
         "summary_source_counts": "select summary_source, count(*) as n_articles from enriched group by 1",
         "tab_counts": """
@@ -532,6 +533,9 @@ from (select url, parts, unnest(range(1, len(parts) + 1)) as i from (
   from enriched))""",
         "stream_dedup_url": "select url from doc_kept",
         "stream_enrich": f"select url, {VERDICT} from doc_kept_s_classified",
+        "enriched_top_articles": f"""
+select feed_ord, entry_ord, url, title, {when_text('published')} as published, category, summary, body_source
+from enriched e order by e.published desc, feed_ord, entry_ord limit {config.MAX_ARTICLES}""",
         "enriched_articles": f"""
 select feed_ord, entry_ord, title, description, url, source, {when_text('published')} as published,
   category, confidence, summary, summary_source, body_source from enriched""",

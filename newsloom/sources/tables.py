@@ -68,7 +68,7 @@ def document_entries(docs: DataFrame) -> DataFrame:
 
 
 def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as entries of one feed: title element, first paragraph, host as source."""
+    """Pages as entries of one feed: title element, whole page, host as source."""
     pages = load(spark, sf_dir, "pages")
     ts = event_time(F.col("page_id"))
     return pages.select(
@@ -76,7 +76,7 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("entry_ord"),
         F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1).alias("source"),
         F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"),
-        F.regexp_extract("html", r"(?is)<p>(.*?)</p>", 1).alias("summary"),
+        F.col("html").alias("summary"),
         F.lit(None).cast("string").alias("description"),
         page_url(F.col("page_id"), F.col("url")).alias("link"),
         F.lit(None).cast(LINKS_TYPE).alias("links"),
@@ -134,8 +134,8 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         doc_id.alias("row_ord"),
         F.date_format(event_time(doc_id), "yyyyMMdd").alias(" Publish_Date"),
-        F.when(doc_id % 23 != 0, F.concat("lang", F.lit("."), "source")).alias("Headline_Category "),
-        F.when(doc_id % 29 != 0, first_line(F.col("text"))).alias(" HEADLINE_TEXT"),
+        F.concat("lang", F.lit("."), "source").alias("Headline_Category "),
+        F.col("text").alias(" HEADLINE_TEXT"),
     )
 
 

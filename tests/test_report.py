@@ -52,6 +52,8 @@ def test_metrics(spark):
     assert abs(overall["mean_confidence"] - (0.705 + 0.5 + 0.125) / 4) < 1e-12
     spread = metrics.category_distribution(df.withColumn("published", F.coalesce("published", F.lit(TS))))
     assert [(r["category"], r["bar"]) for r in spread.collect()] == [("Sports", "██"), ("Politics", "█"), ("Unknown", "█")]
+    scaled = metrics.category_distribution(df.withColumn("published", F.lit(TS)), width=1)
+    assert {r["bar"] for r in scaled.collect()} == {"█"}
     tabs = {r["tab"]: (r["n_articles"], r["count_word"]) for r in metrics.tab_counts(df).collect()}
     assert tabs == {
         "Technology": (0, "articles"), "Business": (0, "articles"), "Politics": (1, "article"),
@@ -74,11 +76,11 @@ def test_ingest_report(spark):
         "feed_ord int, source string, enabled boolean, http_status int",
     )
     articles = spark.createDataFrame(
-        [(0, 1, "x"), (0, 2, ""), (0, 3, "x"), (1, 1, "x"), (1, 2, "y"), (5, 1, "z")],
+        [(0, 1, "x"), (0, 2, ""), (0, 3, "x"), (1, 1, "x"), (1, 2, "y"), (5, 1, "z"), (9, 1, "q"), (9, 2, "")],
         "feed_ord int, entry_ord long, url string",
     )
     got = {r["source"]: r for r in metrics.feed_ingest_report(feeds, articles).collect()}
     assert {k: (r["retrieved"], r["no_url"], r["duplicates"], r["kept"], r["status"]) for k, r in got.items()} == {
         "A": (3, 1, 1, 1, "ok"), "B": (2, 0, 1, 1, "kept_despite_error"), "C": (0, 0, 0, 0, "skipped"),
-        "D": (0, 0, 0, 0, "empty"), "F": (1, 0, 0, 1, "ok"),
+        "D": (0, 0, 0, 0, "empty"), "F": (1, 0, 0, 1, "ok"), None: (2, 1, 0, 1, "unregistered"),
     }

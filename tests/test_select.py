@@ -75,3 +75,22 @@ def test_category_tab(spark):
     df = spark.createDataFrame([("Sports",), ("Unknown",), (None,)], "category string")
     assert in_category(df, "Sports").count() == 1
     assert in_category(df, "All").count() == 3
+
+
+def test_capped_flow(spark):
+    """A heap per task, cut before page parsing; the rows equal the newest of the uncapped flow."""
+    from newsloom.lexicon import default_lexicon
+    from newsloom.plans.enrich import enrich_articles
+    from newsloom.sources import tables
+
+    sf_dir = "/root/testdata/sf0.001"
+    inputs = (tables.entries(spark, sf_dir), tables.web_pages(spark, sf_dir), tables.responses(spark, sf_dir))
+    capped = enrich_articles(*inputs, default_lexicon(), tables.AS_OF, 7)
+    assert "TakeOrderedAndProject" in plan_of(capped)
+    rows = enrich_articles(*inputs, default_lexicon(), tables.AS_OF)
+    newest = rows.orderBy(F.col("published").desc(), "feed_ord", "entry_ord").limit(7)
+    columns = ["url", "category", "confidence", "summary", "summary_source", "body_source"]
+    assert capped.select(columns).collect() == newest.select(columns).collect()
+    none = (inputs[0].limit(0), inputs[1].limit(0), inputs[2].limit(0))
+    assert enrich_articles(*none, default_lexicon(), tables.AS_OF, 7).isEmpty()
+    assert enrich_articles(*none, default_lexicon(), tables.AS_OF).isEmpty()
