@@ -8,6 +8,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracles import rows_of
+from newsloom.plans.catalog import registered
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL = oracle_sql()
@@ -23,7 +24,8 @@ def duck():
 
 
 def test_only_the_model_has_no_sql():
-    assert set(queries()) - set(SQL) == NO_SQL
+    assert set(registered()) - set(SQL) == NO_SQL
+    assert set(registered()) <= set(queries())
     assert set(SQL) <= set(queries())
 
 
