@@ -22,6 +22,7 @@ MAX_PHRASES = 5000
 # Subject headings in the manner of a library catalogue.
 DEFAULT_PHRASES: dict[str, tuple[str, ...]] = {
     "Technology": (
+        "wire", "lens", "node", "ion",
         "compiler", "firmware", "microprocessor", "transistor", "router", "broadband",
         "spreadsheet", "keyboard", "password", "cryptography", "debugging", "source repository",
         "file system", "touch screen", "printed circuit", "fibre optic", "solar cell",
@@ -30,6 +31,7 @@ DEFAULT_PHRASES: dict[str, tuple[str, ...]] = {
         "computer vision", "patent", "platform",
     ),
     "Business": (
+        "ore", "tin", "rent", "tea",
         "accountant", "audit", "balance sheet", "payroll", "factory", "warehouse", "freight",
         "wages", "mortgage", "insurance", "premium", "commodity", "currency", "exchange rate",
         "creditor", "shareholder", "stock exchange", "franchise", "procurement", "tender",
@@ -37,6 +39,7 @@ DEFAULT_PHRASES: dict[str, tuple[str, ...]] = {
         "joint venture", "patent", "sponsor", "auction",
     ),
     "Politics": (
+        "heir", "nation", "reform", "state",
         "parliament", "republic", "monarchy", "electorate", "polling station", "by-election",
         "manifesto", "ombudsman", "civil service", "attorney general", "chancellor", "ambassador",
         "consulate", "ceasefire", "armistice", "human rights", "immigration", "devolution",
@@ -44,12 +47,14 @@ DEFAULT_PHRASES: dict[str, tuple[str, ...]] = {
         "lobbying", "welfare", "trade union", "census", "statute", "platform",
     ),
     "Sports": (
+        "oar", "net", "team", "ski",
         "athlete", "archery", "badminton", "boxing", "canoe", "cricket", "cycling", "decathlon",
         "fencing", "gymnast", "handball", "hockey", "hurdles", "javelin", "judo", "lacrosse",
         "regatta", "relay", "rowing", "shot put", "skiing", "snooker", "swimming pool",
         "time trial", "volleyball", "weightlifting", "goalkeeper", "scoreboard", "sponsor", "draw",
     ),
     "Entertainment": (
+        "aria", "art", "duet", "act",
         "actress", "animation", "audience", "ballad", "cabaret", "carnival", "choir",
         "choreography", "circus", "documentary", "exhibition", "guitar", "jazz", "magician",
         "museum", "musical", "orchestra", "opera", "painter", "pantomime", "playwright", "poetry",
