@@ -177,7 +177,7 @@ def filter_no_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def filter_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = select.in_category(_classified(spark, sf_dir), "Politics")
+    found = select.in_category(_classified(spark, sf_dir), "Technology")
     return found.select("url", "title", "category")
 
 

@@ -404,7 +404,7 @@ from doc_articles""",
         "parse_published": f"select feed_ord, entry_ord, {when_text('published')} as published from articles",
         "classification_text": "select feed_ord, entry_ord, text from all_texts",
         "filter_no_url": "select feed_ord, entry_ord, url from articles where length(url) > 0",
-        "filter_category": "select url, title, category from kept_s_classified where category = 'Politics'",
+        "filter_category": "select url, title, category from kept_s_classified where category = 'Technology'",
         "dedup_url": "select url, feed_ord, entry_ord, title from kept",
         "dedup_text": """
 select row_ord, text, category from (select *, row_number() over (partition by text order by row_ord) as rn
