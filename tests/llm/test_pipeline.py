@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 
@@ -54,3 +55,49 @@ def test_last_stage_decodes_to_its_input(stages):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def planted(seed: int = 5) -> list[str]:
+    """Pairs of random texts whose similarity lies around the bar, and unrelated ones."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    texts = []
+    for n in range(240):
+        base = [word() for _ in range(300)]
+        other = list(base)
+        # Words at the end fall away or are new, which sets the share of common runs.
+        cut = rng.randint(5, 60)
+        other[-cut:] = [word() for _ in range(cut if n % 2 else 0)]
+        texts += [" ".join(base), " ".join(other)]
+    return texts + ["a b c d e f g h", "a b c d e f g h", "", None]
+
+
+def test_near_copies_are_those_of_the_exact_similarity(spark, tmp_path):
+    texts = planted()
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    runs = [set(simhash.shingle_hashes(t or "", 5).tolist()) for t in texts]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    repeated = {i for i in range(1, len(texts), 2) if near(runs[i - 1], runs[i])}
+    assert 60 < len(repeated) < 220
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert len(repeated & kept) <= 0.02 * len(repeated)
+    assert set(range(len(texts))) - kept <= repeated
+
+
+def test_near_copies_chain_and_large_groups(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(700)]
+    chain = [" ".join(words[20 * i : 20 * i + 400]) for i in range(12)]
+    base = [f"g{i}" for i in range(400)]
+    group = []
+    for _ in range(150):
+        other = list(base)
+        other[rng.randrange(400)] = "x%d" % rng.randrange(10**6)
+        group.append(" ".join(other))
+    rows = list(enumerate(chain + group))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    assert kept == [0, len(chain)]
