@@ -7,13 +7,17 @@ corpus then says how much a term beside an entity gives it away. With document f
 
 is the information they share and IC(entity) = log(N / df(entity)) what there is to know. A term
 whose PMI reaches `disclosure` of the IC nearly determines the entity and is protected as well: its
-occurrences beside the entity become spans of kind `term`. A pair counts if at least MIN_SUPPORT
-documents hold it; a term seen once says nothing about a corpus.
+occurrences in the entity's documents become spans of kind `term`. Both are counted over whole texts.
+
+No floor on the number of documents decides, but how likely chance is: with q = df(term, entity) /
+df(term) and p = df(entity) / N, at most exp(-df(term) * KL(q || p)). A pair counts if that is at most
+CHANCE, shared among the terms that occur with the entity twice or more. A pair in one document
+cannot be judged: there any rare word is as near to the entity as a revealing one.
 
 Sanitising writes a kind in place of a span (generalisation), or removes it.
 
-Documents are read once. The pairs of a document are bounded by its length, as only terms within
-CONTEXT words of an entity are taken; counts are summed within tasks before they are shuffled.
+Only documents that share an entity with another are read again, for their words; counts are summed
+within tasks before they are shuffled.
 """
 
 from __future__ import annotations
@@ -29,8 +33,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import arrow_rows, documents_of, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 8
-MIN_SUPPORT = 5
+CHANCE = 0.05
 DISCLOSURE = 0.95
 HELD_COUNTS = 200_000
 
@@ -101,53 +104,40 @@ def entity_key(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(plain.encode("utf-8"), digest_size=8).digest(), "little", signed=True)
 
 
-def beside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) for the words within CONTEXT words of each protected value."""
-    if not spans:
-        return []
-    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words that touch no span."""
     covered = sorted((a, b) for _, a, b in spans)
-    free, at = [], 0
-    for a, b in words:
-        while at < len(covered) and covered[at][1] <= a:
+    free, at, reach = [], 0, 0
+    for m in WORD.finditer(text):
+        while at < len(covered) and covered[at][0] < m.end():
+            reach = max(reach, covered[at][1])
             at += 1
-        if at == len(covered) or covered[at][0] >= b:
-            free.append((a, b))
-    from bisect import bisect_left
-
-    starts = [a for a, _ in free]
-    found = set()
-    for _, a, b in spans:
-        entity = entity_key(text[a:b])
-        left = bisect_left(starts, a)
-        right = bisect_left(starts, b)
-        for x, y in free[max(0, left - CONTEXT) : left] + free[right : right + CONTEXT]:
-            found.add((entity, text[x:y].lower(), x, y))
-    return sorted(found)
+        if reach <= m.start():
+            free.append((m.group().lower(), m.start(), m.end()))
+    return free
 
 
 def find_patterns(docs: DataFrame) -> DataFrame:
-    """Pattern spans of every document, and the terms beside them."""
+    """Pattern spans of every document, and the keys of its protected values."""
     rows = documents_of(docs, F.monotonically_increasing_id().alias("row"))
 
     def task(batches):
         for batch in batches:
             spans = [pattern_spans(t) for t in batch["text"]]
-            near = [beside(t, s) for t, s in zip(batch["text"], spans)]
             counts = [Counter(k for k, _, _ in s) for s in spans]
             yield {
                 "row": batch["row"], "doc_id": batch["doc_id"],
                 **{f"n_{KINDS[k]}": [c[k] for c in counts] for k in range(4)},
                 "base": [[{"kind": k, "start": a, "stop": b} for k, a, b in sorted(s)] for s in spans],
-                "near": [
-                    [{"entity": e, "term": t, "start": a, "stop": b} for e, t, a, b in n] for n in near
+                "entities": [
+                    sorted({entity_key(t[a:b]) for _, a, b in s}) for t, s in zip(batch["text"], spans)
                 ],
             }
 
     schema = (
         "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
         "base array<struct<kind:int,start:int,stop:int>>, "
-        "near array<struct<entity:long,term:string,start:int,stop:int>>"
+        "entities array<long>"
     )
     return arrow_rows(rows, task, schema)
 
@@ -169,35 +159,88 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def revealing_pairs(docs: DataFrame, found: DataFrame, disclosure: float, support: int) -> DataFrame:
+def shared_entities(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, df_entity) of entities in two documents or more, and the (row, entity) that hold them."""
+    held = found.select("row", F.explode("entities").alias("entity"))
+    shared = held.groupBy("entity").agg(F.count("*").alias("df_entity")).filter("df_entity > 1")
+    shared = stored(shared, "pii-entities")
+    return shared, stored(held.join(shared.select("entity"), "entity"), "pii-holders")
+
+
+def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
+    """(entity, term, df_both): documents that hold both, two or more."""
+    texts = documents_of(docs, F.monotonically_increasing_id().alias("row")).select("row", "text")
+    rows = texts.join(holders.groupBy("row").agg(F.collect_list("entity").alias("entities")), "row")
+
+    def task(batches):
+        counts = Counter()
+
+        def out():
+            return {
+                "entity": [e for e, _ in counts], "term": [t for _, t in counts], "df": list(counts.values()),
+            }
+
+        for batch in batches:
+            for text, entities in zip(batch["text"], batch["entities"]):
+                terms = {t for t, _, _ in free_words(text, pattern_spans(text))}
+                for entity in entities:
+                    counts.update((entity, t) for t in terms)
+                    if len(counts) >= HELD_COUNTS:
+                        yield out()
+                        counts.clear()
+        yield out()
+
+    counted = arrow_rows(rows.select("text", "entities"), task, "entity long, term string, df long")
+    return counted.groupBy("entity", "term").agg(F.sum("df").alias("df_both")).filter("df_both > 1")
+
+
+def revealing_pairs(docs: DataFrame, total: int, shared: DataFrame, holders: DataFrame, disclosure: float) -> DataFrame:
     """(entity, term) pairs whose PMI reaches `disclosure` of the entity's information content."""
-    total = found.count()
-    pairs = found.select("row", F.inline("near")).select("row", "entity", "term").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_both"))
-    both = both.filter(F.col("df_both") >= support)
-    entities = found.select("row", F.inline("near")).select("row", "entity").distinct()
-    entities = entities.groupBy("entity").agg(F.count("*").alias("df_entity"))
-    joined = both.join(entities, "entity").join(term_frequencies(docs), "term")
+    both = stored(pair_counts(docs, holders), "pii-pairs")
+    judged = both.groupBy("entity").agg(F.count("*").alias("judged"))
+    frequent = term_frequencies(docs).filter("df > 1")
+    joined = both.join(shared.join(judged, "entity"), "entity").join(frequent, "term")
     n = F.lit(float(total))
-    shared = F.log(n * F.col("df_both") / (F.col("df") * F.col("df_entity")))
-    known = F.log(n / F.col("df_entity"))
-    return joined.filter((known > 0) & (shared >= disclosure * known)).select("entity", "term")
+    seen = F.col("df_both") / F.col("df")
+    by_chance = F.col("df_entity") / n
+    shared_bits, known = F.log(seen / by_chance), -F.log(by_chance)
+    rest = F.when(seen < 1, (1 - seen) * F.log((1 - seen) / (1 - by_chance))).otherwise(0.0)
+    unlikely = F.col("df") * (seen * shared_bits + rest) >= F.log(F.col("judged") / CHANCE)
+    return joined.filter((by_chance < 1) & (shared_bits >= disclosure * known) & unlikely).select("entity", "term")
+
+
+def term_spans(docs: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(row, terms): the places of revealing terms in the documents of their entities."""
+    terms = pairs.groupBy("entity").agg(F.collect_list("term").alias("words"))
+    wanted = holders.join(terms, "entity").groupBy("row").agg(F.collect_list("words").alias("words"))
+    texts = documents_of(docs, F.monotonically_increasing_id().alias("row")).select("row", "text")
+
+    def task(batches):
+        for batch in batches:
+            places = []
+            for text, words in zip(batch["text"], batch["words"]):
+                known = set().union(*words)
+                free = free_words(text, pattern_spans(text))
+                places.append([{"kind": 4, "start": a, "stop": b} for t, a, b in free if t in known])
+            yield {"row": batch["row"], "terms": places}
+
+    return arrow_rows(texts.join(wanted, "row"), task, "row long, terms array<struct<kind:int,start:int,stop:int>>")
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = MIN_SUPPORT) -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """All spans of every document, as an array `found` of (kind, start, stop).
 
     Also row, doc_id, n_<kind> of the patterns, and `base`, the pattern spans alone. Null texts
     are empty and have no spans. Repeated rows each keep their spans and count as documents of
-    the corpus; an empty table gives no rows.
+    the corpus; an empty table gives no rows. `docs` must give rows the same places in each pass,
+    as tables read from files do.
     """
     found = stored(find_patterns(docs), "pii-patterns")
-    pairs = revealing_pairs(docs, found, disclosure, support)
-    near = found.select("row", F.inline("near")).join(pairs, ["entity", "term"])
-    terms = near.select("row", F.struct(F.lit(4).alias("kind"), "start", "stop").alias("span"))
-    terms = terms.groupBy("row").agg(F.collect_set("span").alias("terms"))
-    joined = found.drop("near").join(terms, "row", "left")
-    spans = F.concat("base", F.array_sort(F.coalesce("terms", F.array())))
+    shared, holders = shared_entities(found)
+    pairs = revealing_pairs(docs, found.count(), shared, holders, disclosure)
+    terms = term_spans(docs, holders, pairs)
+    joined = found.drop("entities").join(terms, "row", "left")
+    spans = F.concat("base", F.coalesce("terms", F.array()))
     return joined.withColumn("found", spans).drop("terms")
 
 

@@ -352,6 +352,23 @@ def test_terms_that_reveal_an_entity(session):
     assert pii.mask("a b@c.d e", [(0, 2, 7)]) == "a <EMAIL> e"
 
 
+def test_terms_of_entities_in_few_documents(session):
+    filler = " ".join("plain common words of every text".split() * 3)
+    texts = []
+    for n, copies in enumerate((1, 2, 3, 4)):
+        name = "Zeb" + "abcd"[n] * 3
+        texts += [
+            (10 * n + i, f"{name} lives here {filler} mail p{n}@mail.example.com {filler} own{'xyzw'[i]}{'abcd'[n]}")
+            for i in range(copies)
+        ]
+    texts += [(100 + i, f"{filler} lives here mail") for i in range(400)]
+    for row in pii.find_personal_data(frame(session, texts)).collect():
+        text = dict(texts)[row.doc_id]
+        words = {text[s["start"] : s["stop"]] for s in row.found if s["kind"] == 4}
+        # An entity of one document leaves its words undecided.
+        assert words == ({text.split()[0]} if 10 <= row.doc_id < 100 else set())
+
+
 def test_induced_sort():
     rnd = random.Random(5)
     for _ in range(400):
