@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import brown_lm, byte_bpe, chat, decontaminate, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
+from newsloom.llm import (
+    brown_lm,
+    byte_bpe,
+    chat,
+    decontaminate,
+    importance,
+    page_text,
+    pii,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    whitening,
+    winnowing,
+)
 from newsloom.llm.common import load, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +124,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of texts and their edits."""
     return winnowing.edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_text.main_text(load(spark, sf_dir, "pages"))
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding along the whitened leading components."""
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents towards the benchmark's word runs, and the ranks of those drawn."""
+    return importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
