@@ -6,27 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import config
-from newsloom.functions.arrays import add_once
-from newsloom.functions.markup import (
-    clean_summary,
-    fallback_summary,
-    main_region,
-    paragraph_lines,
-    text_lines,
-    without_boilerplate,
-)
+from newsloom.functions.markup import clean_summary, fallback_summary
+from newsloom.functions.pages import page_body
 from newsloom.functions.text import contains_any, strip
 from newsloom.operators.select import keep_first
 
 
 def extract_body(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replaces the page source by `body`, its main text cut to 8,000 characters, or null."""
-    staged = pages.withColumn("_clean", without_boilerplate(F.col(html))).drop(html)
-    staged = staged.withColumn("_main", text_lines(main_region(F.col("_clean"))))
-    # Second chance: all paragraphs, wherever they are.
-    body = F.when(F.col("_main") != "", F.col("_main")).otherwise(paragraph_lines(F.col("_clean")))
-    cut = F.substring(body, 1, config.PAGE_BODY_CHARS)
-    return add_once(staged, body=F.nullif(cut, F.lit(""))).drop("_clean", "_main")
+    return pages.withColumn("body", page_body(F.col(html))).drop(html)
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from newsloom import config
-from newsloom.functions import markup
+from newsloom.functions import pages
 from newsloom.functions.terms import TOKEN
 from newsloom.functions.text import WS_CHARS
 from newsloom.lexicon import DEFAULT_PHRASES, default_stop_words
@@ -51,16 +51,90 @@ def percent(x: str) -> str:
     return f"cast(cast(round_even({x} * 100, 0) as int) as varchar) || '%'"
 
 
+def decoded(x: str) -> str:
+    """Character references, each looked up in one list of all names."""
+    names = "map {" + ", ".join(f"{s(k)}: {s(v)}" for k, v in pages.NAMED.items() if "\0" not in v) + "}"
+    c1 = "map {" + ", ".join(f"{n}: {s(c)}" for n, c in pages.C1.items()) + "}"
+    ref = f"regexp_extract(pt, {s(f'^({pages.REFERENCE});')}, 1)"
+    number = f"try_cast(case when lower({ref}[2]) = 'x' then '0x' || {ref}[3:] else {ref}[2:] end as bigint)"
+    char = (
+        f"case when {number} = 0 or {number} > 1114111 or {number} between 55296 and 57343 then chr(65533) "
+        f"else coalesce({c1}[{number}], chr(cast({number} as int))) end"
+    )
+    part = (
+        f"case when {ref} = '' then '&' || pt when {ref}[1] = '#' then {char} || pt[length({ref}) + 2:] "
+        f"else coalesce({names}[{ref}] || pt[length({ref}) + 2:], '&' || pt) end"
+    )
+    return (
+        f"case when contains({x}, '&') then array_to_string(list_transform(string_split({x}, '&'), "
+        f"lambda pt, ix: case when ix = 1 then pt else {part} end), '') else {x} end"
+    )
+
+
 def lines_of(x: str) -> str:
-    x = gsub(x, markup.BLOCK_TAG, "chr(10)")
-    x = gsub(x, "<[^>]+>", "''")
-    for entity, char in markup.ENTITIES:
-        x = f"replace({x}, {s(entity)}, {s(char)})"
     x = gsub(x, r"[\t\x0b-\r\x1c-\x1f\x{85}\p{Z}]+", "' '")
     x = gsub(x, r" *\n[ \n]*", "chr(10)")
     return f"trim({x}, ' ' || chr(10))"
 
 
+def body_ctes(source: str) -> dict[str, tuple[tuple[str, ...], str]]:
+    """CTEs that end in `bodies` (page_id, url, body) from `source` (page_id, url, html).
+
+    Every tag of a page is a row here, and nesting depths are window sums. Depth is counted from
+    its lowest point so far, so stray end tags do not matter; a piece is in a closed element if the
+    depth falls below its own later on.
+    """
+    raw = r"(?is)<(?:script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z))"
+    clean = gsub(gsub("html", r"(?s)<!--.*?(?:-->|\z)", "''"), raw, "''")
+    kinds = (*pages.KINDS, *pages.OPEN_PARTS)
+
+    def each(template: str, names=kinds) -> str:
+        return ", ".join(template.format(k=k) for k in names)
+
+    def any_of(prefix: str, names) -> str:
+        return "(" + " or ".join(f"{prefix}_{k}" for k in names) + ")"
+
+    ways = (
+        "start_article and not soft", "start_article", "start_body and not soft", "first_tag = 'p'", "start_body",
+    )
+    block_tags = ", ".join(map(s, pages.BLOCK_TAGS))
+    headings = ", ".join(map(s, pages.HEADINGS))
+    pieces = "string_split(clean, '<')"
+    letters = r"regexp_replace({x}, '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]', '', 'g')"
+    return {
+        "page_pieces": ((source,), f"""
+select page_id, url, ord, case when ord = 1 then '' else lower(regexp_extract(piece, '^/?[a-zA-Z][a-zA-Z0-9]*')) end as tag,
+  case when ord = 1 then piece when not regexp_matches(piece, '^([!?/]|[a-zA-Z])') then '<' || piece
+    when contains(piece, '>') then piece[strpos(piece, '>') + 1:] else '' end as txt
+from (select page_id, url, unnest({pieces}) as piece, generate_subscripts({pieces}, 1) as ord
+  from (select page_id, url, {clean} as clean from {source}))"""),
+        "page_depths": (("page_pieces",), f"""
+select *, {each("depth_{k} - least(0, min(depth_{k}) over w) as rise_{k}")} from (
+  select *, ltrim(tag, '/') as tag_name, {each("sum(case tag when '{k}' then 1 when '/{k}' then -1 else 0 end) over w as depth_{k}")}
+  from page_pieces window w as (partition by page_id order by ord))
+window w as (partition by page_id order by ord)"""),
+        "page_marks": (("page_depths",), f"""
+select page_id, url, ord, tag, tag_name, {decoded("txt")} as txt,
+  {each("rise_{k} > min(rise_{k}) over later as in_{k}")}, {each("rise_{k} > 0 as start_{k}", pages.OPEN_PARTS)},
+  sum(case when ord = 1 or tag_name in ({block_tags}) then 1 else 0 end) over w as block
+from page_depths window w as (partition by page_id order by ord),
+  later as (partition by page_id order by ord rows between current row and unbounded following)"""),
+        "page_blocks": (("page_marks",), f"""
+select page_id, any_value(url) as url, block, string_agg(case when tag_name = 'br' then chr(10) else '' end || txt, '' order by ord) as txt,
+  arg_min(tag, ord) as first_tag, arg_min({any_of("in", pages.HARD_PARTS)}, ord) as hard,
+  arg_min({any_of("in", pages.SOFT_PARTS)}, ord) as soft, {each("arg_min(start_{k}, ord) as start_{k}", pages.OPEN_PARTS)},
+  sum(length({letters.format(x="txt")})) as n, sum(case when in_a then length({letters.format(x="txt")}) else 0 end) as linked
+from page_marks group by page_id, block"""),
+        "page_lines": (("page_blocks",), "select *, " + lines_of("txt") + f""" as ln from page_blocks
+where not hard and (2 * linked <= n or first_tag in ({headings}))"""),
+        "bodies": ((source, "page_lines"), f"""
+select p.page_id, p.url, left(coalesce({", ".join(f"way_{k}" for k in range(len(ways)))}), 8000) as body
+from {source} p left join (select page_id, {", ".join(
+    f"string_agg(ln, chr(10) order by block) filter ({way} and ln <> '') as way_{k}" for k, way in enumerate(ways)
+)} from page_lines group by page_id) t on t.page_id = p.page_id"""),
+    }
+
+
 def clean_summary(x: str) -> str:
     for mark in config.SUMMARY_MARKS:
         x = gsub(x, mark, r"'\1'")
@@ -283,12 +357,9 @@ for _prefix, _texts, _labels in (
     for _name, (_needs, _sql) in scoring(_texts, _labels, f"{_prefix}s_").items():
         _cte(_name, _needs, _sql)
 
-_cte("bodies", (), f"""
-select page_id, page_url as url, nullif(left(case when main <> '' then main else
-    {lines_of("array_to_string(regexp_extract_all(clean, " + s(markup.PARAGRAPH) + ", 1), chr(10))")} end, 8000), '') as body
-from (select *, {lines_of("coalesce(nullif(regexp_extract(clean, " + s(markup.ARTICLE) + ", 1), ''), regexp_extract(clean, " + s(markup.BODY) + ", 1))")} as main
-  from (select page_id, {PAGE_URL} as page_url,
-    {gsub(gsub(gsub("html", markup.COMMENT, "''"), markup.SCRIPT, "''"), markup.BOILERPLATE, "''")} as clean from pages))""")
+_cte("page_rows", (), f"select page_id, {PAGE_URL} as url, html from pages")
+for _name, (_needs, _sql) in body_ctes("page_rows").items():
+    _cte(_name, _needs, _sql)
 _cte("url_bodies", ("bodies",), """
 select url, body from (select *, row_number() over (partition by url order by page_id) as rn
   from bodies where body is not null and url not in ('', '#')) where rn = 1""")

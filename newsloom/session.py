@@ -31,12 +31,20 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder for `purpose` below `spark.checkpoint.dir`, or else below the warehouse.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors reach: `spark.checkpoint.dir`.
 
-    Both are folders that all executors reach.
+    Where a cluster names none there is no safe choice, since its warehouse may be a folder of one
+    machine; a local session uses its warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for `purpose` below the shared root."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"

@@ -73,4 +73,5 @@ def test_shared_folder_follows_the_session():
     assert shared_folder(named, "x").startswith("s3a://bucket/dir/x-")
     with pytest.raises(RuntimeError):
         shared_folder(session("yarn"), "x")
-    assert "newsloom-" in shared_folder(session("local[4]"), "x")
+    local = session("local[4]", **{"spark.sql.warehouse.dir": "file:/home/me/warehouse"})
+    assert shared_folder(local, "x").startswith("file:/home/me/warehouse/_work/x-")
