@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from newsloom.session import shared_folder
+
 # Tasks carry the code of this folder with them, so that executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules["newsloom.llm"])
 
@@ -29,18 +30,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors reach: `spark.checkpoint.dir`, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return root.rstrip("/")
-
-
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cut lineage, safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
