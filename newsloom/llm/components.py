@@ -1,35 +1,50 @@
-"""Connected components of a link table, by alternating large-star and small-star steps.
+"""Connected components of a link table, by repeated contraction.
 
-Each step is two aggregations and a join over the links, stored in the shared folder, so no task
-holds a component and the driver sees one pair of numbers a round.
+The links are dealt evenly, whatever nodes they share, and each task unites those it got: every
+node of its links points to the least node it reaches there. A node that several tasks hold then
+points to the least of their answers, and where the answers differ they are links of the next,
+smaller round. No task holds more than its part of the links, no key gathers a component, and the
+driver sees one count a round.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import stored
+from newsloom.llm.common import arrow_rows, stored
 
+# Links that one task unites.
+LINKS = 200_000
 
-def _point_to_least(near: DataFrame, keep: str) -> DataFrame:
-    """`near` (u, v): links the `keep` neighbours of each u, and u itself, to u's least neighbour."""
-    least = near.groupBy("u").agg(F.min("v").alias("least"))
-    least = least.withColumn("least", F.least("u", "least"))
-    links = near.filter(keep).join(least, "u").select(F.col("v").alias("a"), F.col("least").alias("b"))
-    if keep == "v < u":
-        links = links.unionByName(least.select(F.col("u").alias("a"), F.col("least").alias("b")))
-    return links.filter("a > b").distinct()
+
+def least_reached(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of `count` nodes the least one that the links a-b lead to."""
+    root = np.arange(count)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for ends in (a, b, root[a], root[b]):
+            np.minimum.at(root, ends, low)
+        root = root[root]
+        if (root == before).all():
+            return root
 
 
-def _mark(links: DataFrame):
-    """A sum over the links that changes when they change."""
-    return links.agg(
-        F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    ).first()
+def _united(batches):
+    a, b = [], []
+    for batch in batches:
+        a += batch["a"]
+        b += batch["b"]
+    if a:
+        nodes, place = np.unique(np.array(a + b, np.int64), return_inverse=True)
+        place = place.reshape(-1)
+        root = least_reached(len(nodes), place[: len(a)], place[len(a) :])
+        yield {"node": nodes.tolist(), "rep": nodes[root].tolist()}
 
 
-def components(links: DataFrame, purpose: str = "components") -> DataFrame:
+def components(links: DataFrame, purpose: str = "components", size: int = LINKS) -> DataFrame:
     """(node, root) for every node of the links (a, b); the root is its component's least node.
 
     Repeated and reversed links and loops are harmless; no links give no rows.
@@ -39,17 +54,19 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
         .filter("a > b").distinct(),
         purpose,
     )
-    mark = _mark(links)
-    while True:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    found = None
+    while (count := links.count()) or found is None:
+        dealt = links.repartition(-(-max(1, count) // size), "a", "b")
+        parts = stored(arrow_rows(dealt, _united, "node long, rep long"), purpose)
+        step = stored(parts.groupBy("node").agg(F.min("rep").alias("root")), purpose)
+        if found is None:
+            found = step
+        else:
+            later = step.select(F.col("node").alias("root"), F.col("root").alias("later"))
+            found = found.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
+        links = stored(
+            parts.join(step, "node").filter("rep > root")
+            .select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct(),
+            purpose,
         )
-        large = _point_to_least(both, "v > u")
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = stored(_point_to_least(down, "v < u"), purpose)
-        before, mark = mark, _mark(links)
-        if mark == before:
-            break
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+    return found

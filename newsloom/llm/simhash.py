@@ -17,6 +17,7 @@ Only spanning links leave a task: a group of n near copies gives fewer than n li
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import xxhash
@@ -35,16 +36,25 @@ FANOUT = 16
 # Node pairs opened at a time, so that a leaf never has all pairs of its members in memory.
 OPENED = 1_024
 CHUNK = 1 << 16
-# Bands that propose pairs for an exact comparison, and the pairs a task tries at a time.
+# Leading bits by which fingerprints are proposed to each other, at least; more rows need more.
 BAND = 16
+PLACES = 4
 SIMILARITY = 0.8
-# Of 64 bits, those in which a proposed pair may differ; fewer would lose true pairs.
+# Bits in which a proposed pair may differ: of the 64 that lead to it, and of 128 of two others.
 REACH = 16
-PAIRS = 1 << 20
-# Fingerprints of the first comparison, and the part of all bits in which no near copies differ:
-# at a similarity of 0.8 they differ in 15 %, in 19 % where one of five shingles is missing.
-FIRST_TURNS = 8
+SIDES = 2
+SIDE_REACH = 42
+# The part of all bits in which no near copies differ: at a similarity of 0.8 they differ in 15 %,
+# in 19 % where one of five shingles is missing. Sets of LONG shingles stay close to the former.
+LONG = 64
 FAR = 0.25
+FAR_LONG = 0.20
+# The part of pairs of exactly SIMILARITY that no band proposes.
+MISSED = 0.01
+# Fingerprints of the first comparison.
+FIRST_TURNS = 8
+# Entries of the index that a task of its sort should have.
+SORT_ROWS = 1_000_000
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -323,8 +333,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, turns: int = 1
     fingerprints only propose pairs, and those of exactly SIMILARITY or more link, as in `keep_one`.
     """
     if turns > 1:
+        turns = max(turns, turns_for(docs.count()))
         found, sets = distinct_sets(docs, k, turns)
-        groups = verified_groups(docs, sets, k, radius, turns, SIMILARITY).join(
+        groups = verified_groups(docs, sets, k, turns, SIMILARITY).join(
             found.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(sets, "digest"), "id"
         )
         names = groups.groupBy("group").agg(F.min("first_id").alias("component_id"))
@@ -342,113 +353,224 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, turns: int = 1
     )
 
 
+def _digest(octets: bytes) -> bytes:
+    return hashlib.blake2b(octets, digest_size=16).digest()
+
+
 def shingle_sets(docs: DataFrame, k: int, turns: int) -> DataFrame:
-    """row, doc_id, a digest of the set of shingles and `turns` fingerprints of that set."""
+    """row, doc_id, digest and size of the set of shingles, and `turns` fingerprints of that set."""
 
     def task(batches):
         for batch in batches:
-            digests, values = [], []
+            digests, sizes, values = [], [], []
             for text in batch["text"]:
                 h = np.unique(shingle_hashes(text, k))
-                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                digests.append(_digest(h.tobytes()))
+                sizes.append(len(h))
                 found = np.array([majority(_mixed(h, t)) for t in range(turns)], np.uint64)
                 values.append(found.view(np.int64).tolist())
-            yield {"row": batch["row"], "doc_id": batch["doc_id"], "digest": digests, "fps": values}
+            yield {"row": batch["row"], "doc_id": batch["doc_id"], "digest": digests, "size": sizes, "fps": values}
 
     rows = documents_of(docs, F.monotonically_increasing_id().alias("row"))
-    return arrow_rows(rows, task, "row long, doc_id long, digest binary, fps array<long>")
-
-
-def _across(bucket: np.ndarray, group: np.ndarray):
-    """Index pairs of one bucket and two groups, PAIRS or so at a time; sorted by both."""
-    n = len(bucket)
-    edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1])) + 1
-    first = np.append(edge, n)[np.searchsorted(edge, np.arange(n), "right")]
-    count = np.searchsorted(bucket, bucket, "right") - first
-    rows = np.flatnonzero(count)
-    total = np.cumsum(count[rows])
-    at = 0
-    while at < len(rows):
-        done = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
-        part = rows[at:end]
-        a = np.repeat(part, count[part])
-        before = np.repeat(total[at:end] - count[part] - done, count[part])
-        yield a, first[a] + np.arange(len(a)) - before
-        at = end
-
-
-def candidates(sets: DataFrame, radius: int, turns: int, neighbours: bool) -> DataFrame:
-    """Pairs a < b of `sets` (id, group, fps) that share a band of BAND bits and are near in its turn.
-
-    The entries of a band lie in Gray order of the turned fingerprint. With `neighbours`, pairs are
-    those next to each other there; else all pairs of one band value whose groups differ.
+    return arrow_rows(rows, task, "row long, doc_id long, digest binary, size int, fps array<long>")
+
+
+def band_width(rows: int) -> int:
+    """Leading bits that `rows` random fingerprints seldom share with each other."""
+    return max(BAND, min(BITS // 2, math.ceil(math.log2(max(2, rows)))))
+
+
+def turns_for(rows: int, similarity: float = SIMILARITY) -> int:
+    """Fingerprints that leave out MISSED of the pairs of `similarity`, at the width that `rows` ask for.
+
+    Bits of such pairs differ with p = acos(2J / (1 + J)) / pi; each fingerprint has PLACES bands.
     """
-    count = BITS // BAND
+    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    shared = (1 - differ) ** band_width(rows)
+    return math.ceil(math.log(MISSED) / math.log(1 - shared) / PLACES) if shared < 1 else 1
+
+
+def _entries(sets: DataFrame, turns: int) -> DataFrame:
+    """The index entries of `sets` (id, group, fps), dealt and sorted by band and Gray rank.
+
+    A band is a fingerprint and the place from which on its bits lead. The next SIDES fingerprints
+    go along, for a closer look at a pair.
+    """
+    step = BITS // PLACES
     turned = F.array(*(
         F.struct(
-            (F.col("turn") * count + band).alias("band"),
+            (F.col("turn") * PLACES + place).alias("band"),
             (
-                F.shiftleft("fp", band * BAND).bitwiseOR(F.shiftrightunsigned("fp", BITS - band * BAND))
-                if band else F.col("fp")
+                F.shiftleft("fp", place * step).bitwiseOR(F.shiftrightunsigned("fp", BITS - place * step))
+                if place else F.col("fp")
             ).alias("turned"),
         )
-        for band in range(count)
+        for place in range(PLACES)
     ))
-    entries = sets.select("id", "group", F.posexplode(F.slice("fps", 1, turns)).alias("turn", "fp"))
-    entries = entries.select("id", "group", F.inline(turned))
-    key = F.shiftrightunsigned("turned", BITS - BAND)
-    rank = _gray_rank(F.col("turned")).bitwiseXOR(F.lit(-(1 << 63)))
-    dealt = entries.repartition(F.col("band"), key).sortWithinPartitions("band", rank)
-    names = ("band", "turned", "id", "group")
-
-    def pairs_of(band, turned, ids, group):
-        value = turned.view(np.uint64)
-        head = value >> np.uint64(BITS - BAND)
-        bucket = np.cumsum(np.r_[False, (band[1:] != band[:-1]) | (head[1:] != head[:-1])])
-        if neighbours:
-            a = np.flatnonzero(bucket[1:] == bucket[:-1])
-            found = [(a, a + 1)]
-        else:
-            order = np.lexsort((group, bucket))
-            found = ((order[i], order[j]) for i, j in _across(bucket[order], group[order]))
-        for a, b in found:
-            near = np.bitwise_count(value[a] ^ value[b]) <= radius
-            x, y = ids[a[near]], ids[b[near]]
-            yield {"a": np.minimum(x, y).tolist(), "b": np.maximum(x, y).tolist()}
+    sides = [
+        F.get("fps", (F.col("turn") + k) % F.size("fps")).alias(f"side_{k}") for k in range(1, SIDES + 1)
+    ]
+    rows = sets.select("id", "group", "fps", F.posexplode(F.slice("fps", 1, turns)).alias("turn", "fp"))
+    rows = rows.select("id", "group", *sides, F.inline(turned))
+    rows = rows.withColumn("rank", _gray_rank(F.col("turned")).bitwiseXOR(F.lit(-(1 << 63))))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, -(-sets.count() * turns * PLACES // SORT_ROWS))
+    return rows.repartitionByRange(parts, "band", "rank").sortWithinPartitions("band", "rank").drop("rank")
+
+
+_ENTRY = ("id", "group", "turned", *(f"side_{k}" for k in range(1, SIDES + 1)))
+
+
+def _runs(batches, width: int):
+    """(band, key, columns, whether the run may go on in another task) of each run of one key."""
+    held, band, key, first = [], None, None, True
+
+    def joined():
+        return {n: np.concatenate([part[n] for part in held]) for n in _ENTRY}
+
+    for batch in batches:
+        columns = {n: np.array(batch[n], np.int64) for n in (*_ENTRY, "band")}
+        bands, keys = columns["band"], columns["turned"].view(np.uint64) >> np.uint64(BITS - width)
+        cuts = np.flatnonzero((bands[1:] != bands[:-1]) | (keys[1:] != keys[:-1])) + 1
+        edges = [0, *cuts.tolist(), len(bands)]
+        for start, end in zip(edges, edges[1:]):
+            for a in range(start, end, LEAF):
+                same = (bands[a], keys[a]) == (band, key)
+                if held and (not same or sum(len(h["id"]) for h in held) >= LEAF):
+                    yield int(band), int(key), joined(), first or same
+                    held, first = [], same
+                band, key = bands[a], keys[a]
+                held.append({n: columns[n][a : min(end, a + LEAF)] for n in _ENTRY})
+    if held:
+        yield int(band), int(key), joined(), True
+
+
+def neighbour_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
+    """Pairs a < b of entries that stand next to each other in Gray order and are near."""
 
     def task(batches):
-        held, parts, waiting = [np.empty(0, np.int64)] * 4, [], 0
-        for batch in batches:
-            parts.append([np.array(batch[n], np.int64) for n in names])
-            waiting += len(parts[-1][0])
-            # A band value that fills the wait is let grow, so that it is copied few times.
-            if waiting < max(CHUNK, len(held[0])):
+        for _, _, run, _ in _runs(batches, width):
+            x, y = run["id"][:-1], run["id"][1:]
+            near = _close({n: c[:-1] for n, c in run.items()}, {n: c[1:] for n, c in run.items()}, REACH)
+            yield {"a": np.minimum(x, y)[near].tolist(), "b": np.maximum(x, y)[near].tolist()}
+
+    return arrow_rows(_entries(sets, turns), task, "a long, b long").distinct()
+
+
+def _close(left: dict, right: dict, radius: int) -> np.ndarray:
+    """Which pairs of entries are of two groups and near in their own and in the side fingerprints."""
+    bits = np.bitwise_count((left["turned"] ^ right["turned"]).view(np.uint64))
+    sides = sum(
+        np.bitwise_count((left[n] ^ right[n]).view(np.uint64)).astype(int) for n in _ENTRY if n.startswith("side_")
+    )
+    return (left["group"] != right["group"]) & (bits <= radius) & (sides <= SIDE_REACH)
+
+
+def walked_pairs(left: dict, right: dict | None, radius: int):
+    """Near pairs of entries of one leaf or of two, some at a time, as two dicts of columns.
+
+    Upper nodes hold the bits that their members share; node pairs whose shared bits differ in more
+    than `radius` places, or that hold one and the same group only, are never opened.
+    """
+    alone, other = right is None, left if right is None else right
+    x, y = left["turned"].view(np.uint64), other["turned"].view(np.uint64)
+
+    def walk(a, b, size):
+        if alone:
+            keep = a <= b
+            a, b = a[keep], b[keep]
+        if size == 1:
+            keep = a < b if alone else slice(None)
+            mine = {n: c[a[keep]] for n, c in left.items()}
+            theirs = {n: c[b[keep]] for n, c in other.items()}
+            near = _close(mine, theirs, radius)
+            yield {n: c[near] for n, c in mine.items()}, {n: c[near] for n, c in theirs.items()}
+            return
+        (ones_l, any_l), (ones_r, any_r) = _nodes(x, size), _nodes(y, size)
+        apart = (ones_l[a] & ~any_r[b]) | (ones_r[b] & ~any_l[a])
+        spans = []
+        for groups in (left["group"], other["group"]):
+            at = np.arange(0, len(groups), size)
+            spans.append((np.minimum.reduceat(groups, at), np.maximum.reduceat(groups, at)))
+        one_group = np.minimum(spans[0][0][a], spans[1][0][b]) == np.maximum(spans[0][1][a], spans[1][1][b])
+        near = (np.bitwise_count(apart) <= radius) & ~one_group
+        a, b = a[near], b[near]
+        lower, step = size // FANOUT, np.arange(FANOUT)
+        for at in range(0, len(a), OPENED):
+            mine = np.repeat((a[at : at + OPENED, None] * FANOUT + step).ravel(), FANOUT)
+            theirs = np.tile(b[at : at + OPENED, None] * FANOUT + step, FANOUT).ravel()
+            inside = (mine * lower < len(x)) & (theirs * lower < len(y))
+            yield from walk(mine[inside], theirs[inside], lower)
+
+    size = FANOUT * FANOUT
+    grid = np.meshgrid(np.arange(-(-len(x) // size)), np.arange(-(-len(y) // size)), indexing="ij")
+    yield from walk(*(g.ravel() for g in grid), size)
+
+
+def group_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
+    """All near pairs a < b of entries of two groups that share the leading `width` bits of a band.
+
+    Runs of one key are leaves of at most LEAF entries; those of one key meet in a join, pruned by
+    the bits that each leaf's members share. Runs of a single entry that cannot go on are left out.
+    """
+    def leaves(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        for band, key, run, open_end in _runs(batches, width):
+            if len(run["id"]) < 2 and not open_end:
                 continue
-            held = [np.concatenate(c) for c in zip(held, *parts)]
-            parts, waiting = [], 0
-            head = held[1].view(np.uint64) >> np.uint64(BITS - BAND)
-            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (head[1:] != head[:-1]))
-            if len(change):
-                cut = int(change[-1]) + 1
-                yield from pairs_of(*(c[:cut] for c in held))
-                held = [c[cut:] for c in held]
-        held = [np.concatenate(c) for c in zip(held, *parts)]
-        if len(held[0]):
-            yield from pairs_of(*held)
-
-    return arrow_rows(dealt.select(*names), task, "a long, b long").distinct()
-
-
-def nearest_first(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+            values = run["turned"]
+            yield {
+                "band": [band], "key": [key], "leaf": [(part << 32) + made],
+                "ones": [int(np.bitwise_and.reduce(values))], "zeros": [int(~np.bitwise_or.reduce(values))],
+                **{n: [run[n].tolist()] for n in _ENTRY},
+            }
+            made += 1
+
+    arrays = ", ".join(f"{n} array<long>" for n in _ENTRY)
+    found = arrow_rows(_entries(sets, turns), leaves, f"band int, key long, leaf long, ones long, zeros long, {arrays}")
+    found = stored(found, "simhash-leaves")
+    heads = found.select("band", "key", "leaf", "ones", "zeros")
+    apart = F.expr("bit_count((l.ones & r.zeros) | (l.zeros & r.ones))")
+    meeting = heads.alias("l").join(
+        heads.alias("r"),
+        (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key"))
+        & (F.col("l.leaf") < F.col("r.leaf")) & (apart <= REACH),
+    ).select("l.leaf", F.col("r.leaf").alias("leaf_r"))
+    entry = F.struct(*_ENTRY)
+    across = meeting.join(found.select("leaf", entry.alias("left")), "leaf").join(
+        found.select(F.col("leaf").alias("leaf_r"), entry.alias("right")), "leaf_r"
+    ).select("left", "right")
+    within = found.filter(F.size("id") > 1).select(
+        entry.alias("left"), F.lit(None).cast(dict(across.dtypes)["right"]).alias("right")
+    )
+
+    def task(batches):
+        for batch in batches:
+            for left, right in zip(batch["left"], batch["right"]):
+                mine, theirs = (
+                    None if leaf is None else {n: np.array(leaf[n], np.int64) for n in _ENTRY} for leaf in (left, right)
+                )
+                for x, y in walked_pairs(mine, theirs, REACH):
+                    yield {
+                        "a": np.minimum(x["id"], y["id"]).tolist(), "b": np.maximum(x["id"], y["id"]).tolist()
+                    }
+
+    return arrow_rows(within.unionByName(across), task, "a long, b long").distinct()
+
+
+def nearest_first(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """`pairs` with the bits in which all fingerprints differ; those far beyond any true pair go."""
-    left = sets.select(F.col("id").alias("a"), F.col("fps").alias("fps_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("fps").alias("fps_b"))
+    left = sets.select(F.col("id").alias("a"), F.col("fps").alias("fps_a"), F.col("size").alias("size_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("fps").alias("fps_b"), F.col("size").alias("size_b"))
     bits = F.aggregate(
         F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, m: n + m
     )
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", bits.alias("bits"), F.size("fps_a").alias("n"))
-    return found.filter(F.col("bits") <= F.col("n") * BITS * FAR).select("a", "b", "bits")
+    far = F.when(F.least("size_a", "size_b") >= LONG, FAR_LONG).otherwise(FAR)
+    found = pairs.join(left, "a").join(right, "b")
+    # A set cannot be as similar to one that is so much smaller.
+    found = found.filter(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
+    found = found.select("a", "b", bits.alias("bits"), (far * BITS * F.size("fps_a")).alias("most"))
+    return found.filter("bits <= most").select("a", "b", "bits")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -457,17 +579,34 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose sets of shingles are as similar as asked, exactly."""
-    texts = documents_of(docs, F.monotonically_increasing_id().alias("row"))
-    left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are as similar as asked, exactly.
+
+    Texts that stand in a pair are shingled once; what meets in the joins is their sorted hashes.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = sets.select("id", "digest").join(ends, "id", "left_semi")
+    texts = documents_of(docs, F.monotonically_increasing_id().alias("id")).join(asked, "id")
+
+    def hashes(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(text, k)).tobytes() for text in batch["text"]]
+            for octets, digest in zip(found, batch["digest"]):
+                if _digest(octets) != digest:
+                    raise RuntimeError("rows are numbered otherwise than before; read them from files")
+            yield {"id": batch["id"], "hashes": found}
+
+    sorted_sets = stored(
+        arrow_rows(texts.select("id", "digest", "text"), hashes, "id long, hashes binary"), "simhash-hashes"
+    )
+    left = sorted_sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a"))
+    right = sorted_sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b"))
 
     def task(batches):
         for batch in batches:
             a, b = [], []
-            for i, j, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                if jaccard(np.unique(shingle_hashes(x, k)), np.unique(shingle_hashes(y, k))) >= similarity:
+            for i, j, x, y in zip(batch["a"], batch["b"], batch["hashes_a"], batch["hashes_b"]):
+                if jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity:
                     a.append(i)
                     b.append(j)
             yield {"a": a, "b": b}
@@ -475,8 +614,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Da
     return arrow_rows(pairs.select("a", "b").join(left, "a").join(right, "b"), task, "a long, b long")
 
 
-def verified_groups(docs: DataFrame, sets: DataFrame, k: int, radius: int, turns: int, similarity: float) -> DataFrame:
-    """(id, group) of `sets` (id, fps): components over pairs of at least `similarity`.
+def verified_groups(docs: DataFrame, sets: DataFrame, k: int, turns: int, similarity: float) -> DataFrame:
+    """(id, group) of `sets`: components over pairs of at least `similarity`.
 
     First every set is compared with its nearest neighbour in Gray order, which unites large groups
     with one link a member. Then all candidates between two groups are compared.
@@ -485,42 +624,51 @@ def verified_groups(docs: DataFrame, sets: DataFrame, k: int, radius: int, turns
         found = components(links, "simhash-components").select(F.col("node").alias("id"), F.col("root").alias("group"))
         return sets.select("id", "fps").join(found, "id", "left").withColumn("group", F.coalesce("group", "id"))
 
-    radius = max(radius, REACH)
+    width = band_width(sets.count())
     alone = sets.select("id", "fps", F.col("id").alias("group"))
-    near = nearest_first(candidates(alone, radius, min(turns, FIRST_TURNS), True), sets)
+    near = nearest_first(neighbour_pairs(alone, min(turns, FIRST_TURNS), width), sets, similarity)
     near = near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
-    first = stored(verified(stored(near.select("a", "b"), "simhash-near"), docs, k, similarity), "simhash-verified")
-    between = nearest_first(candidates(stored(grouped(first), "simhash-groups"), radius, turns, False), sets)
-    more = verified(stored(between, "simhash-between"), docs, k, similarity)
-    return grouped(first.unionByName(stored(more, "simhash-verified"))).select("id", "group")
+    near = stored(near.select("a", "b"), "simhash-near")
+    first = stored(verified(near, docs, sets, k, similarity), "simhash-verified")
+    between = group_pairs(stored(grouped(first), "simhash-groups"), turns, width)
+    between = stored(nearest_first(between, sets, similarity).select("a", "b"), "simhash-between")
+    more = stored(verified(between, docs, sets, k, similarity), "simhash-verified")
+    return grouped(first.unionByName(more)).select("id", "group")
 
 
 def distinct_sets(docs: DataFrame, k: int, turns: int) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows, and the distinct ones (digest, id, place, fps), named by a least row."""
+    """The sets of all rows, and the distinct ones (digest, id, place, size, fps), named by a least row."""
     found = stored(shingle_sets(docs, k, turns), "simhash-sets")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row")
-    sets = found.groupBy("digest").agg(F.min(F.struct(place.alias("place"), "fps")).alias("least"))
+    sets = found.groupBy("digest").agg(F.min(F.struct(place.alias("place"), "size", "fps")).alias("least"))
     sets = sets.select(
         "digest", F.col("least.place.row").alias("id"), F.col("least.place").alias("place"),
-        F.col("least.fps").alias("fps"),
+        F.col("least.size").alias("size"), F.col("least.fps").alias("fps"),
     )
     return found, stored(sets, "simhash-distinct")
 
 
-def keep_one(docs: DataFrame, k: int, radius: int, turns: int, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, k: int, turns: int, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near copies: of each component the row of the least doc_id stays.
 
     Near copies share `similarity` of their distinct shingles, exactly: fingerprints only propose
-    pairs. A pair is proposed if in one of `turns` fingerprints a band of BAND bits is the same and
-    at most `radius` bits, or REACH, differ. If bits differ with p = acos(2J / (1 + J)) / pi, that fails with
-    about (1 - (1 - p) ** BAND) ** (turns * BITS / BAND): for J = 0.8 and 20 turns, 0.3 %.
-
-    All columns stay. Rows of equal ids are told apart by their place in the input, so of repeated
-    rows one stays. `docs` must be read from files, so that places are the same in each pass.
+    pairs, out of the Gray-ordered index. A pair is proposed if in one of the fingerprints a band of
+    leading bits is the same and few of the others differ. Both the width of a band and the number
+    of fingerprints (`turns` at least) grow with the logarithm of the number of rows, so that chance
+    pairs stay few and MISSED of the pairs at a similarity of 0.8 are missed, fewer above.
+
+    All columns stay, whatever their names. Rows of equal ids are told apart by their place in the
+    input, so of repeated rows one stays; null texts are empty texts, which are copies of each
+    other; null ids come last. `docs` must be read from files, so that places are the same in each
+    pass; a different order is an error where it would matter.
     """
+    turns = max(turns, turns_for(docs.count(), similarity))
     _, sets = distinct_sets(docs, k, turns)
-    groups = verified_groups(docs, sets, k, radius, turns, similarity)
+    groups = verified_groups(docs, sets, k, turns, similarity)
     kept = groups.join(sets.select("id", "place"), "id").groupBy("group").agg(F.min("place").alias("first"))
-    kept = kept.select(F.col("first.row").alias("_row"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    kept = kept.select(F.col("first.row").alias(row))
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    return rows.join(kept, row, "left_semi").drop(row)

@@ -61,7 +61,7 @@ def nothing(session):
 
 OPERATORS = {
     "simhash": lambda d: simhash.near_duplicates(d),
-    "keep_one": lambda d: simhash.keep_one(d, 5, 4, 3),
+    "keep_one": lambda d: simhash.keep_one(d, 5, 3),
     "encode": lambda d: byte_bpe.encode_documents(d, RANKS, PATTERN),
     "round_trip": lambda d: byte_bpe.round_trip(d, RANKS, PATTERN, "lang"),
     "token_counts": lambda d: token_counts.count_tokens(d, VOCABULARY, PATTERN, 10),
