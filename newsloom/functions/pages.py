@@ -159,10 +159,12 @@ def main_text(page: str) -> str:
 def page_body(html: Column) -> Column:
     """The main text cut to 8,000 characters; null if there is none."""
 
+    most = config.PAGE_BODY_CHARS
+
     @F.pandas_udf("string")
     def bodies(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
-            texts = [None if page is None else main_text(page)[: config.PAGE_BODY_CHARS] for page in pages]
+            texts = [None if page is None else main_text(page)[:most] for page in pages]
             yield pd.Series([text or None for text in texts], dtype=object)
 
     # Else a filter on the result would be pushed down with a second copy of the walk.

@@ -545,6 +545,17 @@ def stream_dedup_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("url string").parquet(f"{root}/urls")
 
 
+@_query
+def stream_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first article of every URL, from a stream with exact state."""
+    articles = normalize.normalize_entries(_document_stream(spark, sf_dir), tables.AS_OF)
+    root = shared_folder(spark, "stream")
+    rows = ingest.first_of_url_stream(articles)
+    ingest.append_stream(rows, f"{root}/log", f"{root}/state", state_store=ingest.ROCKS_DB).awaitTermination()
+    log = spark.read.schema(rows.schema).parquet(f"{root}/log")
+    return ingest.current_firsts(log).select(*KEY, "url", "title", _when())
+
+
 @_query
 def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = default_lexicon()

@@ -602,6 +602,7 @@ select url, i - 1 as paragraph, replace(replace(replace(replace(replace(parts[i]
 from (select url, parts, unnest(range(1, len(parts) + 1)) as i from (
   select url, [pp for pp in [{strip('pt')} for pt in string_split(summary, chr(10) || chr(10))] if pp <> ''] as parts
   from enriched))""",
+        "stream_first_rows": f"select feed_ord, entry_ord, url, title, {when_text('published')} as published from doc_kept",
         "stream_dedup_url": "select url from doc_kept",
         "stream_enrich": f"select url, {VERDICT} from doc_kept_s_classified",
         "enriched_top_articles": f"""
