@@ -421,38 +421,75 @@ def _entries(sets: DataFrame, turns: int) -> DataFrame:
 _ENTRY = ("id", "group", "turned", *(f"side_{k}" for k in range(1, SIDES + 1)))
 
 
-def _runs(batches, width: int):
-    """(band, key, columns, whether the run may go on in another task) of each run of one key."""
-    held, band, key, first = [], None, None, True
-
-    def joined():
-        return {n: np.concatenate([part[n] for part in held]) for n in _ENTRY}
-
+def _chunks(batches, columns: tuple[str, ...]):
+    """The batches of a task as dicts of long arrays, many rows at a time."""
+    held, size = [], 0
     for batch in batches:
-        columns = {n: np.array(batch[n], np.int64) for n in (*_ENTRY, "band")}
-        bands, keys = columns["band"], columns["turned"].view(np.uint64) >> np.uint64(BITS - width)
-        cuts = np.flatnonzero((bands[1:] != bands[:-1]) | (keys[1:] != keys[:-1])) + 1
-        edges = [0, *cuts.tolist(), len(bands)]
-        for start, end in zip(edges, edges[1:]):
-            for a in range(start, end, LEAF):
-                same = (bands[a], keys[a]) == (band, key)
-                if held and (not same or sum(len(h["id"]) for h in held) >= LEAF):
-                    yield int(band), int(key), joined(), first or same
-                    held, first = [], same
-                band, key = bands[a], keys[a]
-                held.append({n: columns[n][a : min(end, a + LEAF)] for n in _ENTRY})
+        held.append({n: np.array(batch[n], np.int64) for n in columns})
+        size += len(held[-1]["id"])
+        if size >= CHUNK:
+            yield {n: np.concatenate([part[n] for part in held]) for n in columns}
+            held, size = [], 0
     if held:
-        yield int(band), int(key), joined(), True
+        yield {n: np.concatenate([part[n] for part in held]) for n in columns}
+
+
+def _keys(rows: dict, width: int) -> np.ndarray:
+    return rows["turned"].view(np.uint64) >> np.uint64(BITS - width)
+
+
+def _runs(batches, width: int):
+    """(rows, whether the run may go on in another task) of each run of one band and key.
+
+    Most entries are alone with their key. They are dropped all at once, except at the ends of the
+    task, where a run may go on.
+    """
+    names = (*_ENTRY, "band")
+    held, first = {n: np.empty(0, np.int64) for n in names}, True
+    for chunk in _chunks(batches, names):
+        held = {n: np.concatenate([held[n], chunk[n]]) for n in names}
+        keys = _keys(held, width)
+        cuts = np.flatnonzero((held["band"][1:] != held["band"][:-1]) | (keys[1:] != keys[:-1])) + 1
+        edges = np.r_[0, cuts, len(keys)]
+        whole = edges[:-1]
+        if len(whole) == 1 and len(keys) < LEAF:
+            continue
+        for k in np.flatnonzero((np.diff(edges) > 1) | (whole == 0))[: len(whole)].tolist():
+            start, end = int(edges[k]), int(edges[k + 1])
+            last = k == len(whole) - 1
+            if last and end - start < LEAF:
+                break
+            for at in range(start, end, LEAF):
+                # What is left of the last run waits for more of it.
+                if last and end - at < LEAF:
+                    break
+                yield {n: held[n][at : min(end, at + LEAF)] for n in names}, first or last or end - start > LEAF
+            first = False
+        rest = int(edges[-2])
+        if len(keys) - rest >= LEAF:
+            rest += (len(keys) - rest) // LEAF * LEAF
+            first = True
+        else:
+            first = first and len(whole) == 1
+        held = {n: held[n][rest:] for n in names}
+    if len(held["id"]):
+        yield held, True
 
 
 def neighbour_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
-    """Pairs a < b of entries that stand next to each other in Gray order and are near."""
+    """Pairs a < b of entries of a key that stand next to each other in Gray order and are near."""
 
     def task(batches):
-        for _, _, run, _ in _runs(batches, width):
-            x, y = run["id"][:-1], run["id"][1:]
-            near = _close({n: c[:-1] for n, c in run.items()}, {n: c[1:] for n, c in run.items()}, REACH)
-            yield {"a": np.minimum(x, y)[near].tolist(), "b": np.maximum(x, y)[near].tolist()}
+        names, before = (*_ENTRY, "band"), None
+        for rows in _chunks(batches, names):
+            if before is not None:
+                rows = {n: np.concatenate([before[n], rows[n]]) for n in names}
+            before = {n: c[-1:] for n, c in rows.items()}
+            left, right = {n: c[:-1] for n, c in rows.items()}, {n: c[1:] for n, c in rows.items()}
+            near = _close(left, right, REACH) & (left["band"] == right["band"])
+            near &= _keys(left, width) == _keys(right, width)
+            x, y = left["id"][near], right["id"][near]
+            yield {"a": np.minimum(x, y).tolist(), "b": np.maximum(x, y).tolist()}
 
     return arrow_rows(_entries(sets, turns), task, "a long, b long").distinct()
 
@@ -515,12 +552,12 @@ def group_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
     """
     def leaves(batches):
         part, made = TaskContext.get().partitionId(), 0
-        for band, key, run, open_end in _runs(batches, width):
-            if len(run["id"]) < 2 and not open_end:
+        for run, goes_on in _runs(batches, width):
+            if len(run["id"]) < 2 and not goes_on:
                 continue
             values = run["turned"]
             yield {
-                "band": [band], "key": [key], "leaf": [(part << 32) + made],
+                "band": [int(run["band"][0])], "key": [int(_keys(run, width)[0])], "leaf": [(part << 32) + made],
                 "ones": [int(np.bitwise_and.reduce(values))], "zeros": [int(~np.bitwise_or.reduce(values))],
                 **{n: [run[n].tolist()] for n in _ENTRY},
             }
