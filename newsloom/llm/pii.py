@@ -7,7 +7,8 @@ corpus then says how much a term beside an entity gives it away. With document f
 
 is the information they share and IC(entity) = log(N / df(entity)) what there is to know. A term
 whose PMI reaches `disclosure` of the IC nearly determines the entity and is protected as well: its
-occurrences in the entity's documents become spans of kind `term`. Both are counted over whole texts.
+occurrences in the entity's documents become spans of kind `term`. Both are counted over whole texts,
+and each distinct text once: copies of a text tell nothing that the text alone does not.
 
 No floor on the number of documents decides, but how likely chance is: with q = df(term, entity) /
 df(term) and p = df(entity) / N, at most exp(-df(term) * KL(q || p)). A pair counts if that is at most
@@ -16,18 +17,21 @@ cannot be judged: there any rare word is as near to the entity as a revealing on
 
 Sanitising writes a kind in place of a span (generalisation), or removes it.
 
-Only documents that share an entity with another are read again, for their words; counts are summed
-within tasks before they are shuffled.
+Only documents that share an entity with another text are read again for their pairs. Counts are
+summed within tasks before they are shuffled, and a bitmap of fixed size lets through only words,
+or pairs, that later joins may ask for.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import arrow_rows, documents_of, stored
@@ -36,9 +40,10 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CHANCE = 0.05
 DISCLOSURE = 0.95
 HELD_COUNTS = 200_000
+# Bits of a bitmap that prunes rows before a shuffle; a fuller one prunes less.
+BITMAP = 1 << 23
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]++@")
 # A match starts at the head of a run of digits, so later starts in it need no trial.
 ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -104,6 +109,12 @@ def entity_key(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(plain.encode("utf-8"), digest_size=8).digest(), "little", signed=True)
 
 
+def text_key(text: str) -> int:
+    """A signed 64-bit key of a whole text."""
+    octets = text.encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(octets, digest_size=8).digest(), "little", signed=True)
+
+
 def free_words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
     """(term, start, end) of the words that touch no span."""
     covered = sorted((a, b) for _, a, b in spans)
@@ -132,45 +143,80 @@ def find_patterns(docs: DataFrame) -> DataFrame:
                 "entities": [
                     sorted({entity_key(t[a:b]) for _, a, b in s}) for t, s in zip(batch["text"], spans)
                 ],
+                "digest": [text_key(t) for t in batch["text"]],
             }
 
     schema = (
-        "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
+        "row long, doc_id long, digest long, n_email long, n_ip long, n_card long, n_phone long, "
         "base array<struct<kind:int,start:int,stop:int>>, "
         "entities array<long>"
     )
     return arrow_rows(rows, task, schema)
 
 
-def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df): the documents that hold a word, over all documents."""
+def bitmap(rows: DataFrame, *columns: str) -> bytes:
+    """BITMAP bits, in which those of all `rows` are set; see `in_bitmap`. Its size is fixed."""
+    place = F.crc32(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).cast("binary")) % BITMAP
+    words = rows.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("bits")
+    )
+    found = np.zeros(BITMAP // 64, np.int64)
+    for row in words.collect():
+        found[row["word"]] = row["bits"]
+    return found.tobytes()
+
+
+def in_bitmap(bits: bytes, key: str) -> bool:
+    place = zlib.crc32(key.encode("utf-8")) % BITMAP
+    return bool(bits[place >> 3] >> (place & 7) & 1)
+
+
+def checked(text: str, digest: int) -> str:
+    if text_key(text) != digest:
+        raise RuntimeError("rows are numbered otherwise than before; read them from files")
+    return text
+
+
+def term_frequencies(docs: DataFrame, found: DataFrame, wanted: bytes) -> DataFrame:
+    """(term, df): the distinct texts that hold a word, of the words in the bitmap `wanted`."""
 
     def task(batches):
         counts = Counter()
         for batch in batches:
             for text in batch["text"]:
-                counts.update(set(WORD.findall(text.lower())))
+                counts.update(t for t in set(WORD.findall(text.lower())) if in_bitmap(wanted, t))
                 if len(counts) >= HELD_COUNTS:
                     yield {"term": list(counts), "df": list(counts.values())}
                     counts.clear()
         yield {"term": list(counts), "df": list(counts.values())}
 
-    rows = arrow_rows(documents_of(docs).select("text"), task, "term string, df long")
+    texts = documents_of(docs, F.monotonically_increasing_id().alias("row")).select("row", "text")
+    repeated = found.filter("not evidence").select("row")
+    rows = arrow_rows(texts.join(repeated, "row", "left_anti").select("text"), task, "term string, df long")
     return rows.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def shared_entities(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, df_entity) of entities in two documents or more, and the (row, entity) that hold them."""
-    held = found.select("row", F.explode("entities").alias("entity"))
-    shared = held.groupBy("entity").agg(F.count("*").alias("df_entity")).filter("df_entity > 1")
+    """(entity, df_entity) of entities in two distinct texts or more, and who holds them.
+
+    The latter has row, digest, evidence (whether the row stands for its text) and entity.
+    """
+    held = found.select("row", "digest", "evidence", F.explode("entities").alias("entity"))
+    shared = held.groupBy("entity").agg(F.count_if("evidence").alias("df_entity")).filter("df_entity > 1")
     shared = stored(shared, "pii-entities")
     return shared, stored(held.join(shared.select("entity"), "entity"), "pii-holders")
 
 
-def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
-    """(entity, term, df_both): documents that hold both, two or more."""
+def _pairs(docs: DataFrame, holders: DataFrame, task, schema: str) -> DataFrame:
+    """`task` over row, digest, text and the shared entities of the rows that hold any."""
     texts = documents_of(docs, F.monotonically_increasing_id().alias("row")).select("row", "text")
-    rows = texts.join(holders.groupBy("row").agg(F.collect_list("entity").alias("entities")), "row")
+    # A row's entities are bounded by its text.
+    listed = holders.groupBy("row", "digest").agg(F.collect_list("entity").alias("entities"))
+    return arrow_rows(texts.join(listed, "row").select("row", "digest", "text", "entities"), task, schema)
+
+
+def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
+    """(entity, term, df_both): distinct texts that hold both, two or more."""
 
     def task(batches):
         counts = Counter()
@@ -181,8 +227,8 @@ def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
             }
 
         for batch in batches:
-            for text, entities in zip(batch["text"], batch["entities"]):
-                terms = {t for t, _, _ in free_words(text, pattern_spans(text))}
+            for text, digest, entities in zip(batch["text"], batch["digest"], batch["entities"]):
+                terms = {t for t, _, _ in free_words(checked(text, digest), pattern_spans(text))}
                 for entity in entities:
                     counts.update((entity, t) for t in terms)
                     if len(counts) >= HELD_COUNTS:
@@ -190,56 +236,77 @@ def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
                         counts.clear()
         yield out()
 
-    counted = arrow_rows(rows.select("text", "entities"), task, "entity long, term string, df long")
+    counted = _pairs(docs, holders.filter("evidence"), task, "entity long, term string, df long")
     return counted.groupBy("entity", "term").agg(F.sum("df").alias("df_both")).filter("df_both > 1")
 
 
-def revealing_pairs(docs: DataFrame, total: int, shared: DataFrame, holders: DataFrame, disclosure: float) -> DataFrame:
+def revealing_pairs(docs: DataFrame, found: DataFrame, shared: DataFrame, holders: DataFrame, disclosure: float) -> DataFrame:
     """(entity, term) pairs whose PMI reaches `disclosure` of the entity's information content."""
     both = stored(pair_counts(docs, holders), "pii-pairs")
     judged = both.groupBy("entity").agg(F.count("*").alias("judged"))
-    frequent = term_frequencies(docs).filter("df > 1")
+    wanted = bitmap(both.select("term"), "term")
+    frequent = term_frequencies(docs, found, wanted).filter("df > 1")
     joined = both.join(shared.join(judged, "entity"), "entity").join(frequent, "term")
-    n = F.lit(float(total))
+    n = F.lit(float(found.filter("evidence").count()))
     seen = F.col("df_both") / F.col("df")
     by_chance = F.col("df_entity") / n
     shared_bits, known = F.log(seen / by_chance), -F.log(by_chance)
     rest = F.when(seen < 1, (1 - seen) * F.log((1 - seen) / (1 - by_chance))).otherwise(0.0)
     unlikely = F.col("df") * (seen * shared_bits + rest) >= F.log(F.col("judged") / CHANCE)
-    return joined.filter((by_chance < 1) & (shared_bits >= disclosure * known) & unlikely).select("entity", "term")
+    kept = joined.filter((by_chance < 1) & (shared_bits >= disclosure * known) & unlikely)
+    return stored(kept.select("entity", "term"), "pii-revealing")
 
 
 def term_spans(docs: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(row, terms): the places of revealing terms in the documents of their entities."""
-    terms = pairs.groupBy("entity").agg(F.collect_list("term").alias("words"))
-    wanted = holders.join(terms, "entity").groupBy("row").agg(F.collect_list("words").alias("words"))
-    texts = documents_of(docs, F.monotonically_increasing_id().alias("row")).select("row", "text")
+    """(row, terms): the places of revealing terms in the documents of their entities.
+
+    The pairs may be many for a frequent entity, so they are not gathered: documents send the pairs
+    that they hold, if the bitmap of all revealing pairs has them, and a join keeps the true ones.
+    """
+    wanted = bitmap(pairs, "entity", "term")
 
     def task(batches):
         for batch in batches:
-            places = []
-            for text, words in zip(batch["text"], batch["words"]):
-                known = set().union(*words)
-                free = free_words(text, pattern_spans(text))
-                places.append([{"kind": 4, "start": a, "stop": b} for t, a, b in free if t in known])
-            yield {"row": batch["row"], "terms": places}
+            out = {n: [] for n in ("row", "entity", "term", "places")}
+            for row, digest, text, entities in zip(batch["row"], batch["digest"], batch["text"], batch["entities"]):
+                places: dict[str, list[dict]] = {}
+                for term, a, b in free_words(checked(text, digest), pattern_spans(text)):
+                    places.setdefault(term, []).append({"kind": 4, "start": a, "stop": b})
+                for entity in entities:
+                    for term, spans in places.items():
+                        if in_bitmap(wanted, f"{entity} {term}"):
+                            out["row"].append(row)
+                            out["entity"].append(entity)
+                            out["term"].append(term)
+                            out["places"].append(spans)
+            yield out
 
-    return arrow_rows(texts.join(wanted, "row"), task, "row long, terms array<struct<kind:int,start:int,stop:int>>")
+    span = "array<struct<kind:int,start:int,stop:int>>"
+    sent = _pairs(docs, holders, task, f"row long, entity long, term string, places {span}")
+    true = sent.join(pairs, ["entity", "term"], "left_semi").select("row", F.explode("places").alias("span"))
+    return true.groupBy("row").agg(F.sort_array(F.collect_set("span")).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """All spans of every document, as an array `found` of (kind, start, stop).
 
     Also row, doc_id, n_<kind> of the patterns, and `base`, the pattern spans alone. Null texts
-    are empty and have no spans. Repeated rows each keep their spans and count as documents of
-    the corpus; an empty table gives no rows. `docs` must give rows the same places in each pass,
-    as tables read from files do.
+    are empty and have no spans. Repeated rows, and other copies, each have the spans of their text,
+    which counts once as evidence; an empty table gives no rows. `docs` must give rows the same
+    places in each pass, as tables read from files do; another order is an error.
     """
     found = stored(find_patterns(docs), "pii-patterns")
-    shared, holders = shared_entities(found)
-    pairs = revealing_pairs(docs, found.count(), shared, holders, disclosure)
+    firsts = found.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    # Rows that do not stand for their text are few: those of texts that occur twice or more.
+    first = firsts.filter("copies > 1").select("digest", F.col("row").alias("first"))
+    flags = found.join(first, "digest").filter("row <> first").select("row")
+    flags = stored(flags.withColumn("evidence", F.lit(False)), "pii-copies")
+    light = found.select("row", "digest", "entities").join(flags, "row", "left")
+    light = light.withColumn("evidence", F.coalesce("evidence", F.lit(True)))
+    shared, holders = shared_entities(light)
+    pairs = revealing_pairs(docs, light, shared, holders, disclosure)
     terms = term_spans(docs, holders, pairs)
-    joined = found.drop("entities").join(terms, "row", "left")
+    joined = found.drop("entities", "digest").join(terms, "row", "left")
     spans = F.concat("base", F.coalesce("terms", F.array()))
     return joined.withColumn("found", spans).drop("terms")
 
@@ -276,30 +343,30 @@ def sanitise(docs: DataFrame, remove: bool = False) -> DataFrame:
     """The documents with personal data generalised, or removed; all columns and rows stay.
 
     Only documents with spans of terms need a second look: patterns are found again in the pass
-    that rewrites the texts. A null text stays null.
+    that rewrites the texts. A null text stays null. Columns may have any names: they travel as
+    one struct.
     """
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    names = docs.columns
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("held"))
     keyed = stored(keyed, "pii-documents")
-    plain = keyed.select(F.col("_row").alias("doc_id"), "text")
+    plain = keyed.select(F.col("row").alias("doc_id"), F.col("held")["text"].alias("text"))
     found = find_personal_data(plain)
     terms = found.filter(F.size("found") > F.size("base")).select(
-        F.col("doc_id").alias("_row"), F.filter("found", lambda s: s["kind"] == 4).alias("_terms")
+        F.col("doc_id").alias("row"), F.filter("found", lambda s: s["kind"] == 4).alias("terms")
     )
-    rows = keyed.join(terms, "_row", "left")
-    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist()):
+            held, texts = batch.column("held"), []
+            place = held.type.get_field_index("text")
+            for text, spans in zip(held.field(place).to_pylist(), batch.column("terms").to_pylist()):
                 if text is None:
                     texts.append(None)
                     continue
                 all_spans = pattern_spans(text) + [(s["kind"], s["start"], s["stop"]) for s in spans or []]
                 texts.append(mask(text, all_spans, remove))
-            columns = [
-                pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names
-            ]
+            columns = held.flatten()
+            columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select(*names, "_terms").mapInArrow(run, docs.schema)
+    return keyed.join(terms, "row", "left").select("held", "terms").mapInArrow(run, docs.schema)
