@@ -361,7 +361,8 @@ def test_terms_of_entities_in_few_documents(session):
             (10 * n + i, f"{name} lives here {filler} mail p{n}@mail.example.com {filler} own{'xyzw'[i]}{'abcd'[n]}")
             for i in range(copies)
         ]
-    texts += [(100 + i, f"{filler} lives here mail") for i in range(400)]
+    # Copies count once as evidence, so each of these texts differs.
+    texts += [(100 + i, f"{filler} lives here mail {chr(97 + i % 20) * (2 + i // 20)}") for i in range(400)]
     for row in pii.find_personal_data(frame(session, texts)).collect():
         text = dict(texts)[row.doc_id]
         words = {text[s["start"] : s["stop"]] for s in row.found if s["kind"] == 4}
@@ -369,6 +370,15 @@ def test_terms_of_entities_in_few_documents(session):
         assert words == ({text.split()[0]} if 10 <= row.doc_id < 100 else set())
 
 
+def test_copies_of_a_text_reveal_nothing(session):
+    """A rare word that only copies of one text hold is no evidence, however many they are."""
+    texts = [(i, "Zebulon wrote it from p@mail.example.com to all") for i in range(30)]
+    texts += [(100 + i, f"all of it was plain {chr(97 + i % 20) * (2 + i // 20)}") for i in range(200)]
+    found = pii.find_personal_data(frame(session, texts)).collect()
+    assert len(found) == 230 and sum(r.n_email for r in found) == 30
+    assert not any(s["kind"] == 4 for r in found for s in r.found)
+
+
 def test_induced_sort():
     rnd = random.Random(5)
     for _ in range(400):
