@@ -159,21 +159,14 @@ def when_text(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
 
-def story(doc_id: str) -> str:
-    return (
-        f"'https://news.example/story/' || cast({doc_id} - "
-        f"(case when {doc_id} % 3 = 2 then 1 else 0 end) as varchar)"
-    )
+def story(text: str) -> str:
+    return f"'https://news.example/story/' || md5(coalesce({text}, ''))"
 
 
 def event_time(row_id: str) -> str:
     return f"(timestamp '2024-01-01' + to_minutes(cast((({row_id} // 3) * 7919) % 43200 as bigint)))"
 
 
-PAGE_URL = (
-    "case when page_id % 2 = 0 then 'https://news.example/story/' || cast(page_id as varchar) "
-    "else url end"
-)
 FIRST_LINE = "split_part(text, chr(10), 1)"
 MAIL = f"strftime({event_time('doc_id')}, '%a, %d %b %Y %H:%M:%S')"
 ISO = f"strftime({event_time('doc_id')}, '%Y-%m-%dT%H:%M:%SZ')"
@@ -197,11 +190,11 @@ def _cte(name: str, needs: tuple[str, ...], sql: str) -> None:
 
 _cte("doc_entries", (), f"""
 select cast(regexp_extract(source, '([0-9]+)$', 1) as int) as feed_ord, doc_id as entry_ord, source,
-  case when doc_id % 19 <> 0 then {FIRST_LINE} end as title,
+  {FIRST_LINE} as title,
   case when doc_id % 4 = 0 then '' else text end as summary,
   case when doc_id % 4 = 0 then text end as description,
-  case when doc_id % 17 = 5 then '' when doc_id % 17 not in (3, 7) then {story('doc_id')} end as link,
-  case when doc_id % 17 in (3, 5) then {story('doc_id')} end as first_href,
+  case when doc_id % 17 = 5 then '' when doc_id % 17 <> 3 then {story('text')} end as link,
+  case when doc_id % 17 in (3, 5) then {story('text')} end as first_href,
   case when doc_id % 13 = 0 then 'yesterday' when doc_id % 13 = 3 then {MAIL} || ' +0530'
     when doc_id % 13 not in (1, 2) then {MAIL} || ' GMT' end as published,
   case when doc_id % 13 in (0, 1) then {ISO} end as updated
@@ -211,7 +204,7 @@ select 1000 as feed_ord, page_id as entry_ord,
   regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) as source,
   regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title,
   html as summary, cast(null as varchar) as description,
-  {PAGE_URL} as link, cast(null as varchar) as first_href,
+  url as link, cast(null as varchar) as first_href,
   strftime({event_time('page_id')}, '%Y-%m-%dT%H:%M:%SZ') as published,
   cast(null as varchar) as updated
 from pages""")
@@ -357,7 +350,7 @@ for _prefix, _texts, _labels in (
     for _name, (_needs, _sql) in scoring(_texts, _labels, f"{_prefix}s_").items():
         _cte(_name, _needs, _sql)
 
-_cte("page_rows", (), f"select page_id, {PAGE_URL} as url, html from pages")
+_cte("page_rows", (), "select page_id, url, html from pages")
 for _name, (_needs, _sql) in body_ctes("page_rows").items():
     _cte(_name, _needs, _sql)
 _cte("url_bodies", ("bodies",), """
@@ -367,17 +360,19 @@ _cte("chosen", ("kept", "url_bodies"), f"""
 select k.*, coalesce(b.body, left(nullif({strip('description')}, ''), 1200), {strip('title')}, '') as body,
   case when b.body is not null then 'full_article' else 'rss_description' end as body_source
 from kept k left join url_bodies b on b.url = k.url""")
-_cte("responses_", (), """
-select 'https://news.example/story/' || cast(conv_id as varchar) as url,
+_cte("targets_", (), f"""
+select page_id * 2 as target, url as target_url from pages
+union all select doc_id * 2 + 1, {story('text')} from documents""")
+_cte("responses_", ("targets_",), """
+select coalesce(target_url, 'https://news.example/story/' || cast(conv_id as varchar)) as url,
   cast(floor((turn + 1) / 2 + conv_id % 4) as int) as attempt,
-  case when conv_id % 2 = 0 then 'primary' else 'backup' end as model,
-  case when kind = 0 then ' ' || chr(10)
-    when kind >= 4 then '## **Summary**' || chr(10) || chr(10) || '- ' || text
-    when kind = 3 then '# ' || chr(10) end as response_text,
+  case when conv_id % 4 < 2 then 'primary' else 'backup' end as model,
+  case when kind >= 4 then '## **Summary**' || chr(10) || chr(10) || '- ' || text
+    else ' ' || chr(10) || text end as response_text,
   case when kind = 1 then 'HTTP 404: model not found'
     when kind = 2 then case when turn > 2 then '429 Too Many Requests' else 'connection reset' end
   end as error_text
-from (select *, (conv_id * 3 + turn) % 8 as kind from conversations where role = 'assistant')""")
+from (select *, (conv_id * 3 + turn) % 8 as kind from conversations) left join targets_ on target = conv_id""")
 _cte("classed", ("responses_",), f"""
 select *, case when {has_any('lower(error_text)', config.RATE_LIMIT_MARKS)} then 'rate_limit'
   when {has_any('lower(error_text)', config.NOT_FOUND_MARKS)} then 'model_not_found'
@@ -399,9 +394,9 @@ _cte("enriched", ("kept_s_classified", "summarized"), """
 select c.*, summary, summary_source, body_source from kept_s_classified c
 join summarized z on z.url = c.url""")
 _cte("cache_", (), f"""
-select {story('doc_id')} as url, 'cached ' || cast(doc_id as varchar) as summary,
+select {story('text')} as url, 'cached ' || cast(doc_id as varchar) as summary,
   case when quality = 1 then 'model' else 'fallback' end as summary_source,
-  'rss_description' as body_source, doc_id % 3 as version from labels""")
+  'rss_description' as body_source, doc_id as version from labels join documents using (doc_id)""")
 _cte("headlines_", (), """
 select doc_id as row_ord, text, lang || '.' || source as category from documents
 where text is not null and lang is not null and source is not null""")

@@ -1,9 +1,8 @@
 """Adapters from the test tables to the inputs of the operators.
 
-All are projections of one table each: identifiers, URLs and times are derived from row ids, so
-that building an input never costs a join. Every story whose id leaves a remainder of 2 modulo 3
-repeats its predecessor's URL under another feed; other remainders vary where the link and the
-publish time are found, or leave them out.
+The URL of a document is a digest of its text, so that documents share one exactly if they are
+copies; pages have their own. Responses and cached summaries join the articles that they belong to.
+Remainders of row ids vary only where the link and the publish time of an entry are found.
 """
 
 from __future__ import annotations
@@ -33,31 +32,25 @@ def event_time(row_id: Column) -> Column:
     return F.timestamp_seconds(F.lit(1704067200) + minutes * 60)
 
 
-def story_url(doc_id: Column) -> Column:
-    story = doc_id - F.when(doc_id % 3 == 2, 1).otherwise(0)
-    return F.concat(F.lit(STORY), story.cast("string"))
-
-
-def page_url(page_id: Column, url: Column) -> Column:
-    """Even pages are the pages of the stories with their id."""
-    return F.when(page_id % 2 == 0, F.concat(F.lit(STORY), page_id.cast("string"))).otherwise(url)
+def story_url(text: Column) -> Column:
+    return F.concat(F.lit(STORY), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def document_entries(docs: DataFrame) -> DataFrame:
     """Documents as feed entries; `docs` may be a stream."""
     doc_id = F.col("doc_id")
     link, when = doc_id % 17, doc_id % 13
-    url, ts = story_url(doc_id), event_time(doc_id)
+    url, ts = story_url(F.col("text")), event_time(doc_id)
     mail = F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss")
     links = F.array(F.struct(url.alias("href"), F.lit("alternate").alias("rel")))
     return docs.select(
         F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("feed_ord"),
         doc_id.alias("entry_ord"),
         "source",
-        F.when(doc_id % 19 != 0, first_line(F.col("text"))).alias("title"),
+        first_line(F.col("text")).alias("title"),
         F.when(doc_id % 4 == 0, F.lit("")).otherwise(F.col("text")).alias("summary"),
         F.when(doc_id % 4 == 0, F.col("text")).alias("description"),
-        F.when(link == 5, F.lit("")).when(~link.isin(3, 7), url).alias("link"),
+        F.when(link == 5, F.lit("")).when(link != 3, url).alias("link"),
         F.when(link.isin(3, 5), links).alias("links"),
         F.when(when == 0, F.lit("yesterday"))
         .when(when == 3, F.concat(mail, F.lit(" +0530")))
@@ -78,7 +71,7 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"),
         F.col("html").alias("summary"),
         F.lit(None).cast("string").alias("description"),
-        page_url(F.col("page_id"), F.col("url")).alias("link"),
+        F.col("url").alias("link"),
         F.lit(None).cast(LINKS_TYPE).alias("links"),
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("published"),
         F.lit(None).cast("string").alias("updated"),
@@ -91,39 +84,51 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").select(
-        "page_id", page_url(F.col("page_id"), F.col("url")).alias("url"), "html"
+    return load(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, target_url): pages and documents in turn, numbered for the rows that refer to them."""
+    docs, pages = load(spark, sf_dir, "documents"), load(spark, sf_dir, "pages")
+    return pages.select((F.col("page_id") * 2).alias("target"), F.col("url").alias("target_url")).unionByName(
+        docs.select((F.col("doc_id") * 2 + 1).alias("target"), story_url(F.col("text")).alias("target_url"))
     )
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model attempts from assistant turns; some are errors or blank, by conversation and turn."""
-    chat = load(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    """Model attempts from all turns; conversations belong to pages and documents in turn.
+
+    A fourth of the attempts failed, by conversation and turn. Conversations beyond the articles
+    have a URL that no article has.
+    """
+    chat = load(spark, sf_dir, "conversations")
     kind = (F.col("conv_id") * 3 + F.col("turn")) % 8
-    not_found = kind == 1
-    return chat.select(
-        F.concat(F.lit(STORY), F.col("conv_id").cast("string")).alias("url"),
+    rows = chat.select(
+        "conv_id",
         F.floor((F.col("turn") + 1) / 2 + F.col("conv_id") % 4).cast("int").alias("attempt"),
-        F.when(F.col("conv_id") % 2 == 0, F.lit("primary")).otherwise(F.lit("backup")).alias("model"),
-        F.when(kind == 0, F.lit(" \n"))
-        .when(kind >= 4, F.concat(F.lit("## **Summary**\n\n- "), F.col("text")))
-        .when(kind == 3, F.lit("# \n"))
+        F.when(F.col("conv_id") % 4 < 2, F.lit("primary")).otherwise(F.lit("backup")).alias("model"),
+        F.when(kind >= 4, F.concat(F.lit("## **Summary**\n\n- "), F.col("text")))
+        .otherwise(F.concat(F.lit(" \n"), F.col("text")))
         .alias("response_text"),
-        F.when(not_found, F.lit("HTTP 404: model not found"))
+        F.when(kind == 1, F.lit("HTTP 404: model not found"))
         .when(kind == 2, F.when(F.col("turn") > 2, F.lit("429 Too Many Requests")).otherwise(F.lit("connection reset")))
         .alias("error_text"),
     )
+    unknown = F.concat(F.lit(STORY), F.col("conv_id").cast("string"))
+    return rows.join(targets(spark, sf_dir), F.col("conv_id") == F.col("target"), "left").select(
+        F.coalesce("target_url", unknown).alias("url"), "attempt", "model", "response_text", "error_text"
+    )
 
 
 def cached_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A summary cache with some URLs in two versions, from the labelled documents."""
-    rows = load(spark, sf_dir, "labels")
-    return rows.select(
-        story_url(F.col("doc_id")).alias("url"),
+    """A summary cache from the labelled documents; copies are versions of one summary."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", story_url(F.col("text")).alias("url"))
+    return load(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        "url",
         F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("summary"),
         F.when(F.col("quality") == 1, "model").otherwise("fallback").alias("summary_source"),
         F.lit("rss_description").alias("body_source"),
-        (F.col("doc_id") % 3).alias("version"),
+        F.col("doc_id").alias("version"),
     )
 
 
