@@ -18,31 +18,65 @@ log = logging.getLogger(__name__)
 
 # (text, candidate_labels) -> {"labels": [...], "scores": [...]}, best first.
 Scorer = Callable[[str, list[str]], dict]
+# (texts, candidate_labels) -> one such result per text.
+BatchScorer = Callable[[list[str], list[str]], list[dict]]
+
+_Row = tuple[list[str], list[float], str | None]
+
+
+def _row(result: dict) -> _Row:
+    return list(result["labels"]), [float(s) for s in result["scores"]], None
+
+
+def _attempt(call: Callable[[], dict]) -> _Row:
+    try:
+        return _row(call())
+    except Exception as exc:  # the failure value is part of the contract
+        return [], [], f"{type(exc).__name__}: {exc}"
+
+
+def _score_batch(scorer: BatchScorer, texts: list[str], labels: list[str]) -> list[_Row]:
+    """One call for all texts; only if it fails is each tried alone, so that one costs no other."""
+    try:
+        results = scorer(texts, labels)
+        if len(results) != len(texts):
+            raise ValueError(f"{len(results)} results for {len(texts)} texts")
+        return [_row(result) for result in results]
+    except Exception:
+        return [_attempt(lambda text=text: scorer([text], labels)[0]) for text in texts]
 
 
 def score_with(
-    articles: DataFrame, load_scorer: Callable[[], Scorer], labels: Sequence[str] = config.LABELS
+    articles: DataFrame,
+    load_scorer: Callable[[], Scorer | BatchScorer],
+    labels: Sequence[str] = config.LABELS,
+    batch_size: int | None = None,
+    error_column: str | None = None,
 ) -> DataFrame:
     """Classifies with any callable, loaded once per Python worker task.
 
-    Only the text column travels to Python, in Arrow batches. A text the scorer fails on keeps
-    its row and becomes Unknown.
+    Only the text column travels to Python, in Arrow batches. With `batch_size` the scorer takes
+    lists of up to so many texts. A text the scorer fails on, and one that is null, keeps its row
+    and becomes Unknown; `error_column` then says why, and is null elsewhere.
     """
     candidates = list(labels)
 
-    @F.pandas_udf("labels array<string>, scores array<double>")
+    @F.pandas_udf("labels array<string>, scores array<double>, error string")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = load_scorer()
-
-        def one(text: str | None) -> tuple[list[str], list[float]]:
-            try:
-                result = scorer(text, candidates)
-                return list(result["labels"]), [float(s) for s in result["scores"]]
-            except Exception:  # the failure value is part of the contract
-                return [], []
-
         for texts in batches:
-            yield pd.DataFrame([one(text) for text in texts], columns=["labels", "scores"])
+            rows: list[_Row] = [([], [], "no text")] * len(texts)
+            known = [k for k, text in enumerate(texts) if text is not None]
+            for at in range(0, len(known), batch_size or 1):
+                places = known[at : at + (batch_size or 1)]
+                chosen = [texts.iloc[k] for k in places]
+                if batch_size:
+                    scored = _score_batch(scorer, chosen, candidates)
+                else:
+                    scored = [_attempt(lambda: scorer(chosen[0], candidates))]
+                for place, row in zip(places, scored):
+                    rows[place] = row
+            yield pd.DataFrame(rows, columns=["labels", "scores", "error"])
 
     kept = [c for c in articles.columns if c not in ("category", "confidence", "all_scores")]
     scored = with_classification_text(articles.select(*kept), "_text").withColumn(
@@ -53,6 +87,8 @@ def score_with(
         "_result.scores",
         lambda label, value: F.struct(label.alias("label"), value.alias("score")),
     )
+    if error_column is not None:
+        scored = scored.withColumn(error_column, F.col("_result.error"))
     return with_verdict(scored.withColumn("all_scores", ranked).drop("_text", "_result"))
 
 
@@ -67,7 +103,7 @@ def choose_backend(
     spark: SparkSession,
     force_hybrid: bool = False,
     model_path: str | None = None,
-    base_scorer: Callable[[], Scorer] | None = None,
+    base_scorer: Callable[[], Scorer | BatchScorer] | None = None,
 ) -> str:
     """`hybrid` when forced, else a trained model that exists, else a base scorer, else hybrid."""
     if force_hybrid:
@@ -84,9 +120,14 @@ def classify_with_backend(
     lexicon: Lexicon,
     force_hybrid: bool = False,
     model_path: str | None = None,
-    base_scorer: Callable[[], Scorer] | None = None,
+    base_scorer: Callable[[], Scorer | BatchScorer] | None = None,
+    batch_size: int | None = None,
+    error_column: str | None = None,
 ) -> DataFrame:
-    """Classifies with the chosen backend; one that cannot be loaded gives way to hybrid."""
+    """Classifies with the chosen backend; one that cannot be loaded gives way to hybrid.
+
+    `batch_size` and `error_column` are those of `score_with`; other backends have no errors.
+    """
     backend = choose_backend(articles.sparkSession, force_hybrid, model_path, base_scorer)
     if backend == "base":
         try:
@@ -94,7 +135,9 @@ def classify_with_backend(
         except Exception as exc:
             log.warning("base scorer cannot be loaded: %s", exc)
         else:
-            return score_with(articles, base_scorer, lexicon.labels)
+            return score_with(articles, base_scorer, lexicon.labels, batch_size, error_column)
+    if error_column is not None:
+        articles = articles.withColumn(error_column, F.lit(None).cast("string"))
     if backend == "trained":
         try:
             model = load_model(model_path)

@@ -390,6 +390,24 @@ select * exclude (cleaned, own_text), coalesce(cleaned, {fallback('own_text')})
 from (select c.*, case when length(body) > 0 then nullif({clean_summary('response_text')}, '') end as cleaned,
     coalesce(nullif({strip('description')}, ''), {strip('title')}, '') as own_text
   from chosen c left join resolved r on r.url = c.url)""")
+_cte("registry_articles", ("entries",), _normalized("""(
+select e.* replace (1000 - r.feed_ord as feed_ord) from entries e join (
+  select distinct source, cast(regexp_extract(source, '([0-9]+)$', 1) as int) as feed_ord from documents) r
+on r.source = e.source where r.feed_ord % 5 <> 1)"""))
+_cte("registry_kept", ("registry_articles",), _first_per_url("registry_articles"))
+_cte("registry_texts", ("registry_kept",), _text("registry_kept"))
+_cte("registry_scores", ("registry_texts",), f"""
+select *, n / sum(n) over (partition by url) as score,
+  row_number() over (partition by url order by n desc, label_ord) as rnk
+from (select url, label_ord, label, cast(1 + length(lower(text))
+    - length(replace(lower(text), lower(left(label, 1)), '')) as double) as n
+  from registry_texts cross join (values {_values((k, s(label)) for k, label in enumerate(config.LABELS))}) as v(label_ord, label)
+  where (length(lower(text)) - length(replace(lower(text), 'q', ''))) % 2 = 0)""")
+_cte("registry_verdicts", ("registry_scores",), f"""
+select url, max(case when rnk = 1 then label end) as category,
+  round(max(case when rnk = 1 then score end), 4) as confidence,
+  string_agg(label, ',' order by rnk) as ranking, round(max(case when rnk = 1 then score end), {DIGITS}) as top_score
+from registry_scores group by url""")
 _cte("enriched", ("kept_s_classified", "summarized"), """
 select c.*, summary, summary_source, body_source from kept_s_classified c
 join summarized z on z.url = c.url""")
@@ -597,6 +615,14 @@ select url, i - 1 as paragraph, replace(replace(replace(replace(replace(parts[i]
 from (select url, parts, unnest(range(1, len(parts) + 1)) as i from (
   select url, [pp for pp in [{strip('pt')} for pt in string_split(summary, chr(10) || chr(10))] if pp <> ''] as parts
   from enriched))""",
+        "enriched_by_registry": f"""
+select k.feed_ord, k.entry_ord, k.url, case when v.url is null then 'ValueError: odd text' end as classify_error,
+  {fallback("coalesce(nullif(" + strip("k.description") + ", ''), " + strip("k.title") + ", '')")} as summary,
+  'fallback' as summary_source,
+  case when b.body is not null then 'full_article' else 'rss_description' end as body_source,
+  coalesce(v.category, 'Unknown') as category, coalesce(v.confidence, 0) as confidence,
+  coalesce(v.ranking, '') as ranking, v.top_score
+from registry_kept k left join registry_verdicts v on v.url = k.url left join url_bodies b on b.url = k.url""",
         "stream_first_rows": f"select feed_ord, entry_ord, url, title, {when_text('published')} as published from doc_kept",
         "stream_dedup_url": "select url from doc_kept",
         "stream_enrich": f"select url, {VERDICT} from doc_kept_s_classified",

@@ -147,7 +147,8 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry over the sources seen in the documents, with an HTTP status for each."""
     seen = load(spark, sf_dir, "documents").select("source").distinct()
-    feed_ord = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    # A filter on it may also reach sources of other tables, by way of a join.
+    feed_ord = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
     return seen.select(
         feed_ord.alias("feed_ord"),
         "source",

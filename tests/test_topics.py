@@ -181,7 +181,35 @@ def test_backend_choice(spark, lexicon, tmp_path):
     got = {r["id"]: r for r in score_with(rows, load).collect()}
     assert got[1]["category"] == "Entertainment" and got[1]["confidence"] == 0.9
     assert got[2]["category"] == got[3]["category"] == "Unknown"
+    why = {r["id"]: r["why"] for r in score_with(rows, load, error_column="why").collect()}
+    assert why == {1: None, 2: "RuntimeError: no", 3: "no text"}
     for backend in ({"base_scorer": broken}, {"model_path": str(tmp_path)}):
         fallback = classify_with_backend(rows.filter("id = 1"), lexicon, **backend)
         assert fallback.first()["category"] == "Technology"
     assert set(score_with(rows, load).columns) == set(topics.classify_articles(rows, lexicon).columns)
+
+
+def test_a_batch_that_fails_is_tried_text_by_text(spark, lexicon):
+    def load():
+        def score(texts, labels):
+            if any("bad" in text for text in texts):
+                raise RuntimeError(f"of {len(texts)}")
+            if texts[0].startswith("short") and len(texts) > 1:
+                return []
+            return [{"labels": labels, "scores": [len(texts) / 10] + [0.0] * (len(labels) - 1)} for _ in texts]
+
+        return score
+
+    def run(titles, batch_size):
+        rows = articles(spark, [(k, title, "") for k, title in enumerate(titles)]).coalesce(1)
+        done = classify_with_backend(rows, lexicon, base_scorer=load, batch_size=batch_size, error_column="why")
+        return {r["id"]: (r["category"], r["confidence"], r["why"]) for r in done.collect()}
+
+    first = lexicon.labels[0]
+    assert run(["a", "b", "c"], 2) == {0: (first, 0.2, None), 1: (first, 0.2, None), 2: (first, 0.1, None)}
+    assert run(["a", "bad", None, "c"], 8) == {
+        0: (first, 0.1, None), 1: ("Unknown", 0.0, "RuntimeError: of 1"),
+        2: ("Unknown", 0.0, "no text"), 3: (first, 0.1, None),
+    }
+    assert run(["short", "b"], 8) == {0: (first, 0.1, None), 1: (first, 0.1, None)}
+    assert set(classify_with_backend(articles(spark, [(1, "gpu", "")]), lexicon, error_column="why").columns) >= {"why"}
