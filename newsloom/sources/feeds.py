@@ -24,8 +24,11 @@ OPTIONAL_FEEDS = {
     "MIT Tech Review": "https://www.technologyreview.com/feed/",
 }
 
-# `updated` stands for a namespaced sibling such as atom:updated.
-RSS_SCHEMA = "title string, link string, description string, pubDate string, updated string"
+# Names without their name space: `updated` is atom:updated, `date` dc:date, `encoded` content:encoded.
+RSS_SCHEMA = (
+    "title string, link string, description string, pubDate string, updated string, date string, "
+    "encoded string, guid struct<_VALUE:string, _isPermaLink:string>"
+)
 _TEXT = "struct<_VALUE:string, _type:string>"
 ATOM_SCHEMA = (
     f"title {_TEXT}, link array<struct<_href:string, _rel:string>>, summary {_TEXT}, "
@@ -64,13 +67,20 @@ def _read(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFram
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """`<item>` elements as raw entries."""
+    """`<item>` elements as raw entries.
+
+    What an item leaves out or empty comes from its other elements: the link from a guid that is a
+    permanent link, as it is unless it says otherwise, the description from the encoded content, the
+    publish time from the date.
+    """
+    permanent = F.lower(F.coalesce("guid._isPermaLink", F.lit("true"))) != "false"
     return _read(spark, path, "item", RSS_SCHEMA).select(
         "feed_ord", "entry_ord", "source", "title",
         F.lit(None).cast("string").alias("summary"),
-        "description", "link",
+        F.coalesce(F.nullif("description", F.lit("")), "encoded", "description").alias("description"),
+        F.coalesce(F.nullif("link", F.lit("")), F.when(permanent, F.col("guid._VALUE")), "link").alias("link"),
         F.lit(None).cast(LINKS_TYPE).alias("links"),
-        F.col("pubDate").alias("published"),
+        F.coalesce(F.nullif("pubDate", F.lit("")), "date").alias("published"),
         "updated",
     )
 

@@ -44,6 +44,25 @@ def test_rss_and_atom_files(spark, tmp_path):
     assert {(r["source"], r["feed_ord"]) for r in enabled.collect()} == {("B", 0)}
 
 
+def test_rss_items_with_other_elements(spark, tmp_path):
+    item = "<item><title>t</title>{}</item>"
+    items = [
+        "<guid>http://z/1</guid><dc:date>2024-01-08T00:00:00Z</dc:date><content:encoded>Long</content:encoded>",
+        '<link>http://z/2</link><guid isPermaLink="true">http://z/no</guid><description>Short</description>'
+        "<content:encoded>Long</content:encoded>",
+        '<guid isPermaLink="false">tag:3</guid><description/><pubDate>09 Jan 2024</pubDate>',
+    ]
+    text = '<rss xmlns:dc="urn:d" xmlns:content="urn:c"><channel>{}</channel></rss>'
+    land(tmp_path, text.format("".join(map(item.format, items))), 0, "A")
+    rows = normalize_entries(feeds.read_rss(spark, str(tmp_path)), AS_OF).orderBy("entry_ord")
+    got = rows.select("url", "description", F.col("published").cast("string")).collect()
+    assert [tuple(r) for r in got] == [
+        ("http://z/1", "Long", "2024-01-08 00:00:00"),
+        ("http://z/2", "Short", "2024-03-01 00:00:00"),
+        ("", "", "2024-01-09 00:00:00"),
+    ]
+
+
 def test_registry_defaults(spark):
     rows = feeds.feed_registry(spark).orderBy("feed_ord").collect()
     assert [r["enabled"] for r in rows] == [True] * 3 + [False] * 3

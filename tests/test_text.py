@@ -79,6 +79,22 @@ def test_dates(column):
     assert text == list(cases.values())
 
 
+def test_date_forms(column):
+    cases = {
+        "Sunday, 06-Nov-94 08:49:37 GMT": "1994-11-06 08:49:37",
+        "Sun Nov  6 08:49:37 1994": "1994-11-06 08:49:37",
+        "6 November 2024 08:49 EST": "2024-11-06 13:49:00",
+        "Wed, 6 Sept. 23 8:49:00 +05:30": "2023-09-06 03:19:00",
+        "06 Nov 2024": "2024-11-06 00:00:00",
+        "06 Nov 2024 08:49:37": "2024-11-06 08:49:37",
+        "31 Feb 2024 08:00 GMT": None,
+        "06 Foo 2024": None,
+        "06 Nov 2024 08:49 XYZ": None,
+        "Nov 2024": None,
+    }
+    assert column(lambda c: parse_when(c).cast("string"), list(cases)) == list(cases.values())
+
+
 def test_bad_date_falls_to_updated_then_to_the_run(spark):
     base = (1, 1, "s", "t", None, None, "u", None)
     rows = [base + ("bad", "2024-01-02"), base + ("bad", None), base + (None, None)]
