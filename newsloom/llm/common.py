@@ -47,15 +47,18 @@ def arrow_rows(
     df: DataFrame,
     task: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]],
     schema: str,
+    numbers: bool = False,
 ) -> DataFrame:
     """`task` over the batches of each partition, as dicts of column lists.
 
-    A task may carry state from batch to batch within its partition.
+    A task may carry state from batch to batch within its partition. Tables of `numbers` only, without
+    nulls, come as NumPy columns.
     """
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches):
-        lists = ({n: b.column(n).to_pylist() for n in b.schema.names} for b in batches)
+        read = (lambda c: c.to_numpy()) if numbers else (lambda c: c.to_pylist())
+        lists = ({n: read(b.column(n)) for n in b.schema.names} for b in batches)
         for out in task(lists):
             if out and len(next(iter(out.values()))):
                 arrays = [pa.array(out[f.name], type=f.type) for f in arrow]

@@ -51,8 +51,12 @@ FAR = 0.25
 FAR_LONG = 0.20
 # The part of pairs of exactly SIMILARITY that no band proposes.
 MISSED = 0.01
-# Fingerprints of the first comparison.
+# Fingerprints of the first comparison, and how far ahead in Gray order the next ones look.
 FIRST_TURNS = 8
+AHEAD = 4
+# Rounds of comparisons with near neighbours: so many at most, and as long as one compared pair in GAIN links.
+ROUNDS = 8
+GAIN = 20
 # Entries of the index that a task of its sort should have.
 SORT_ROWS = 1_000_000
 
@@ -439,10 +443,11 @@ def _keys(rows: dict, width: int) -> np.ndarray:
 
 
 def _runs(batches, width: int):
-    """(rows, whether the run may go on in another task) of each run of one band and key.
+    """(rows, whether the run may go on in another task) of the runs of one band and key.
 
     Most entries are alone with their key. They are dropped all at once, except at the ends of the
-    task, where a run may go on.
+    task, where a run may go on. Runs of at most FANOUT entries, which make one node, come many
+    at a time, with None for their going on.
     """
     names = (*_ENTRY, "band")
     held, first = {n: np.empty(0, np.int64) for n in names}, True
@@ -454,7 +459,14 @@ def _runs(batches, width: int):
         whole = edges[:-1]
         if len(whole) == 1 and len(keys) < LEAF:
             continue
-        for k in np.flatnonzero((np.diff(edges) > 1) | (whole == 0))[: len(whole)].tolist():
+        sizes = np.diff(edges)
+        small = (sizes > 1) & (sizes <= FANOUT)
+        small[0] &= not first
+        small[-1] = False
+        if small.any():
+            inside = np.repeat(small, sizes)
+            yield {n: c[inside] for n, c in held.items()}, None
+        for k in np.flatnonzero(~small & ((sizes > 1) | (whole == 0))).tolist():
             start, end = int(edges[k]), int(edges[k + 1])
             last = k == len(whole) - 1
             if last and end - start < LEAF:
@@ -476,22 +488,32 @@ def _runs(batches, width: int):
         yield held, True
 
 
-def neighbour_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
-    """Pairs a < b of entries of a key that stand next to each other in Gray order and are near."""
+def _pairs_ahead(rows: dict, width: int, ahead: int):
+    """(a, b) arrays, a < b, of near entries of one band and key at most `ahead` places apart."""
+    keys = _keys(rows, width)
+    for step in range(1, min(ahead, len(keys) - 1) + 1):
+        at = np.flatnonzero((rows["band"][:-step] == rows["band"][step:]) & (keys[:-step] == keys[step:]))
+        if not len(at):
+            return
+        left, right = {n: c[at] for n, c in rows.items()}, {n: c[at + step] for n, c in rows.items()}
+        near = _close(left, right, REACH)
+        x, y = left["id"][near], right["id"][near]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def neighbour_pairs(sets: DataFrame, turns: int, width: int, ahead: int = 1) -> DataFrame:
+    """Pairs a < b of near entries of a key that stand at most `ahead` places apart in Gray order."""
 
     def task(batches):
         names, before = (*_ENTRY, "band"), None
         for rows in _chunks(batches, names):
             if before is not None:
                 rows = {n: np.concatenate([before[n], rows[n]]) for n in names}
-            before = {n: c[-1:] for n, c in rows.items()}
-            left, right = {n: c[:-1] for n, c in rows.items()}, {n: c[1:] for n, c in rows.items()}
-            near = _close(left, right, REACH) & (left["band"] == right["band"])
-            near &= _keys(left, width) == _keys(right, width)
-            x, y = left["id"][near], right["id"][near]
-            yield {"a": np.minimum(x, y).tolist(), "b": np.maximum(x, y).tolist()}
+            before = {n: c[-ahead:] for n, c in rows.items()}
+            for a, b in _pairs_ahead(rows, width, ahead):
+                yield {"a": a, "b": b}
 
-    return arrow_rows(_entries(sets, turns), task, "a long, b long").distinct()
+    return arrow_rows(_entries(sets, turns), task, "a long, b long", numbers=True).distinct()
 
 
 def _close(left: dict, right: dict, radius: int) -> np.ndarray:
@@ -548,24 +570,32 @@ def group_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
     """All near pairs a < b of entries of two groups that share the leading `width` bits of a band.
 
     Runs of one key are leaves of at most LEAF entries; those of one key meet in a join, pruned by
-    the bits that each leaf's members share. Runs of a single entry that cannot go on are left out.
+    the bits that each leaf's members share. Whole runs that make one node are opened where they
+    stand, and runs of a single entry that cannot go on are left out.
     """
     def leaves(batches):
         part, made = TaskContext.get().partitionId(), 0
         for run, goes_on in _runs(batches, width):
+            if goes_on is None:
+                for a, b in _pairs_ahead(run, width, FANOUT - 1):
+                    if len(a):
+                        yield {n: [None] for n in ("band", "key", "leaf", "ones", "zeros", *_ENTRY)} | {"a": [a], "b": [b]}
+                continue
             if len(run["id"]) < 2 and not goes_on:
                 continue
             values = run["turned"]
             yield {
                 "band": [int(run["band"][0])], "key": [int(_keys(run, width)[0])], "leaf": [(part << 32) + made],
                 "ones": [int(np.bitwise_and.reduce(values))], "zeros": [int(~np.bitwise_or.reduce(values))],
-                **{n: [run[n].tolist()] for n in _ENTRY},
+                **{n: [run[n]] for n in _ENTRY}, "a": [None], "b": [None],
             }
             made += 1
 
     arrays = ", ".join(f"{n} array<long>" for n in _ENTRY)
-    found = arrow_rows(_entries(sets, turns), leaves, f"band int, key long, leaf long, ones long, zeros long, {arrays}")
-    found = stored(found, "simhash-leaves")
+    schema = f"band int, key long, leaf long, ones long, zeros long, {arrays}, a array<long>, b array<long>"
+    found = stored(arrow_rows(_entries(sets, turns), leaves, schema, numbers=True), "simhash-leaves")
+    opened = found.filter("leaf is null").select(F.inline(F.arrays_zip("a", "b")))
+    found = found.filter("leaf is not null").drop("a", "b")
     heads = found.select("band", "key", "leaf", "ones", "zeros")
     apart = F.expr("bit_count((l.ones & r.zeros) | (l.zeros & r.ones))")
     meeting = heads.alias("l").join(
@@ -592,7 +622,7 @@ def group_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
                         "a": np.minimum(x["id"], y["id"]).tolist(), "b": np.maximum(x["id"], y["id"]).tolist()
                     }
 
-    return arrow_rows(within.unionByName(across), task, "a long, b long").distinct()
+    return arrow_rows(within.unionByName(across), task, "a long, b long").unionByName(opened).distinct()
 
 
 def nearest_first(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -654,23 +684,45 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, similar
 def verified_groups(docs: DataFrame, sets: DataFrame, k: int, turns: int, similarity: float) -> DataFrame:
     """(id, group) of `sets`: components over pairs of at least `similarity`.
 
-    First every set is compared with its nearest neighbour in Gray order, which unites large groups
-    with one link a member. Then all candidates between two groups are compared.
+    First, in rounds, every set is compared with the nearest of its neighbours in Gray order that
+    belongs to another group and was not compared with it yet, which unites large groups with few
+    links a member. Then all candidates between two groups are compared; what the rounds leave
+    open changes the work of that step, not its result.
     """
     def grouped(links: DataFrame) -> DataFrame:
         found = components(links, "simhash-components").select(F.col("node").alias("id"), F.col("root").alias("group"))
         return sets.select("id", "fps").join(found, "id", "left").withColumn("group", F.coalesce("group", "id"))
 
+    def nearest(pairs: DataFrame) -> DataFrame:
+        ends = F.array(*(F.struct(F.col(x).alias("id"), F.col(y).alias("other")) for x, y in ("ab", "ba")))
+        best = pairs.select("bits", F.inline(ends)).groupBy("id").agg(F.min(F.struct("bits", "other")).alias("best"))
+        other = F.col("best.other")
+        return best.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+
     width = band_width(sets.count())
     alone = sets.select("id", "fps", F.col("id").alias("group"))
-    near = nearest_first(neighbour_pairs(alone, min(turns, FIRST_TURNS), width), sets, similarity)
-    near = near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
-    near = stored(near.select("a", "b"), "simhash-near")
-    first = stored(verified(near, docs, sets, k, similarity), "simhash-verified")
-    between = group_pairs(stored(grouped(first), "simhash-groups"), turns, width)
+    pairs = stored(
+        nearest_first(neighbour_pairs(alone, min(turns, FIRST_TURNS), width), sets, similarity), "simhash-near"
+    )
+    # Sets without any neighbour wait for the last step.
+    near_ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    tried = stored(nearest(pairs), "simhash-near")
+    linked = stored(verified(tried, docs, sets, k, similarity), "simhash-verified")
+    for _ in range(1, ROUNDS):
+        groups = stored(grouped(linked), "simhash-groups")
+        pairs = neighbour_pairs(groups.join(near_ids, "id", "left_semi"), turns, width, AHEAD)
+        pairs = nearest_first(pairs.join(tried, ["a", "b"], "left_anti"), sets, similarity)
+        pairs = stored(nearest(pairs), "simhash-near")
+        found = stored(verified(pairs, docs, sets, k, similarity), "simhash-verified")
+        gained, compared = found.count(), pairs.count()
+        tried, linked = tried.unionByName(pairs), linked.unionByName(found)
+        if gained * GAIN <= compared:
+            break
+    groups = stored(grouped(linked), "simhash-groups")
+    between = group_pairs(groups, turns, width).join(tried, ["a", "b"], "left_anti")
     between = stored(nearest_first(between, sets, similarity).select("a", "b"), "simhash-between")
     more = stored(verified(between, docs, sets, k, similarity), "simhash-verified")
-    return grouped(first.unionByName(more)).select("id", "group")
+    return grouped(linked.unionByName(more)).select("id", "group")
 
 
 def distinct_sets(docs: DataFrame, k: int, turns: int) -> tuple[DataFrame, DataFrame]:
