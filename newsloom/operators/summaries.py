@@ -10,10 +10,15 @@ from newsloom.functions.markup import clean_summary, fallback_summary
 from newsloom.functions.pages import page_body
 from newsloom.functions.text import contains_any, strip
 from newsloom.operators.select import keep_first
+from newsloom.session import small_batches
 
 
 def extract_body(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replaces the page source by `body`, its main text cut to 8,000 characters, or null."""
+    """Replaces the page source by `body`, its main text cut to 8,000 characters, or null.
+
+    Pages reach the Python workers few at a time, so that these hold no more of a larger table.
+    """
+    small_batches(pages.sparkSession)
     return pages.withColumn("body", page_body(F.col(html))).drop(html)
 
 

@@ -13,6 +13,7 @@ import pytest
 from newsloom.functions.pages import decode_references, main_text
 from newsloom.operators.summaries import extract_body
 from newsloom.plans import oracles
+from newsloom.session import BATCH_ROWS
 
 CASES = {
     "<body><form><nav>menu</nav><div><p>in a form</p></div></form></body>": "in a form",
@@ -88,3 +89,19 @@ def test_filter_on_the_body_walks_once(spark):
     kept = extract_body(pages).filter("body is not null")
     assert plan_of(kept).count("ArrowEvalPython") == 1
     assert [r["body"] for r in kept.collect()] == ["x"]
+
+
+def test_workers_get_few_pages_at_a_time(spark):
+    """A batch is bounded by rows, whatever the session allowed before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for allowed in ("10000", "0"):
+            spark.conf.set(name, allowed)
+            extract_body(spark.createDataFrame([(1, "<body><p>a</p>")], "page_id int, html string"))
+            assert int(spark.conf.get(name)) == BATCH_ROWS
+        spark.conf.set(name, "7")
+        extract_body(spark.createDataFrame([(1, "")], "page_id int, html string"))
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
