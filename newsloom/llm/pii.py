@@ -40,6 +40,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CHANCE = 0.05
 DISCLOSURE = 0.95
 HELD_COUNTS = 200_000
+# Room for rounding in a bound that leaves out pairs before they are judged.
+ROUNDING = 1e-9
 # Bits of a bitmap that prunes rows before a shuffle; a fuller one prunes less.
 BITMAP = 1 << 23
 
@@ -216,7 +218,10 @@ def _pairs(docs: DataFrame, holders: DataFrame, task, schema: str) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
-    """(entity, term, df_both): distinct texts that hold both, two or more."""
+    """(entity, term, df_both): distinct texts that hold both, two or more.
+
+    Rows without an entity tell how many of the distinct texts with shared entities hold a term.
+    """
 
     def task(batches):
         counts = Counter()
@@ -229,6 +234,7 @@ def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
         for batch in batches:
             for text, digest, entities in zip(batch["text"], batch["digest"], batch["entities"]):
                 terms = {t for t, _, _ in free_words(checked(text, digest), pattern_spans(text))}
+                counts.update((None, t) for t in set(WORD.findall(text.lower())) & terms)
                 for entity in entities:
                     counts.update((entity, t) for t in terms)
                     if len(counts) >= HELD_COUNTS:
@@ -241,15 +247,23 @@ def pair_counts(docs: DataFrame, holders: DataFrame) -> DataFrame:
 
 
 def revealing_pairs(docs: DataFrame, found: DataFrame, shared: DataFrame, holders: DataFrame, disclosure: float) -> DataFrame:
-    """(entity, term) pairs whose PMI reaches `disclosure` of the entity's information content."""
-    both = stored(pair_counts(docs, holders), "pii-pairs")
+    """(entity, term) pairs whose PMI reaches `disclosure` of the entity's information content.
+
+    The texts that hold shared entities bound a term's frequency from below, and so its PMI from
+    above. Words that are too common by that bound, which most texts hold, are not counted in all texts.
+    """
+    counted = stored(pair_counts(docs, holders), "pii-pairs")
+    both = counted.filter("entity is not null")
     judged = both.groupBy("entity").agg(F.count("*").alias("judged"))
-    wanted = bitmap(both.select("term"), "term")
-    frequent = term_frequencies(docs, found, wanted).filter("df > 1")
-    joined = both.join(shared.join(judged, "entity"), "entity").join(frequent, "term")
     n = F.lit(float(found.filter("evidence").count()))
-    seen = F.col("df_both") / F.col("df")
     by_chance = F.col("df_entity") / n
+    held = counted.filter("entity is null").select("term", F.col("df_both").alias("df_held"))
+    joined = both.join(shared.join(judged, "entity"), "entity").join(held, "term", "left")
+    most = F.log(F.col("df_both") / F.coalesce("df_held", F.lit(1)) / by_chance)
+    joined = stored(joined.filter(most >= -F.log(by_chance) * disclosure - ROUNDING).drop("df_held"), "pii-judged")
+    wanted = bitmap(joined.select("term"), "term")
+    joined = joined.join(term_frequencies(docs, found, wanted).filter("df > 1"), "term")
+    seen = F.col("df_both") / F.col("df")
     shared_bits, known = F.log(seen / by_chance), -F.log(by_chance)
     rest = F.when(seen < 1, (1 - seen) * F.log((1 - seen) / (1 - by_chance))).otherwise(0.0)
     unlikely = F.col("df") * (seen * shared_bits + rest) >= F.log(F.col("judged") / CHANCE)

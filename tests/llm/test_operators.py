@@ -453,3 +453,19 @@ def test_winnowing_keeps_rightmost_minima(session):
         spans = [h[i : i + winnowing.WINDOW] for i in range(max(1, len(h) - winnowing.WINDOW + 1))]
         places = {i + max(j for j, x in enumerate(s) if x == min(s)) for i, s in enumerate(spans)}
         assert row.p == sorted(places) and row.h == [h[p] for p in row.p]
+
+
+def test_common_words_are_not_counted_in_all_texts(session, monkeypatch):
+    """A word that many texts with shared entities hold reveals none; its frequency is not asked for."""
+    texts = [(i, f"w{'abcdefghij'[i // 3]}x common words here mail p{i // 3}@ex.org") for i in range(30)]
+    texts = [(i, t + " " + "qrstuvwxyz"[i % 10] * 3) for i, t in texts] + [(100 + i, "zz other " + "abcdefghij"[i % 10] * (2 + i)) for i in range(40)]
+    asked = []
+    counted = pii.term_frequencies
+
+    def spy(docs, found, wanted):
+        asked.extend(w for w in ("common", "words", "here", "mail", "wax") if pii.in_bitmap(wanted, w))
+        return counted(docs, found, wanted)
+
+    monkeypatch.setattr(pii, "term_frequencies", spy)
+    found = {r.doc_id: r for r in pii.find_personal_data(frame(session, texts)).collect()}
+    assert asked == ["wax"] and len(found) == 70
