@@ -23,10 +23,14 @@ from pyspark.sql import DataFrame
 from newsloom.llm.common import arrow_rows, documents_of
 
 # A task remembers at most this many pieces, none longer than REMEMBERED_BYTES,
-# and this many pairs of tokens.
+# this many prefixes of such pieces, and this many pairs of tokens.
 REMEMBERED = 300_000
 REMEMBERED_BYTES = 64
+REMEMBERED_PREFIXES = 400_000
 REMEMBERED_PAIRS = 400_000
+# Bytes that a token's end is looked up by, and the lengths of tokens without such an end.
+TAIL = 4
+SHORT = tuple(range(TAIL - 1, 0, -1))
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,11 +61,18 @@ class PrefixTable:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
+        # By the last TAIL bytes of tokens, how long they are, longest first; shorter ones may end anywhere.
+        tails: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) >= TAIL:
+                tails.setdefault(token[-TAIL:], set(SHORT)).add(len(token))
+        self.tails = {tail: tuple(sorted(lengths, reverse=True)) for tail, lengths in tails.items()}
         # At most one entry for each token of the vocabulary.
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.agreed: dict[bytes, dict[bytes, bool]] = {}
         self.agreed_size = 0
+        # The last token of prefixes, which many pieces share.
+        self.lasts: dict[bytes, bytes] = {}
 
     def _split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts of the last merge that makes a token; None if merging ends elsewhere."""
@@ -121,10 +132,21 @@ class PrefixTable:
         return known
 
     def counts(self, piece: bytes) -> list[int]:
-        ranks, longest, agreed = self.ranks, self.longest, self.agreed
+        ranks, tails, agreed, lasts = self.ranks, self.tails, self.agreed, self.lasts
         last, counts = [b""], [0]
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
+        for end in range(1, min(len(piece), REMEMBERED_BYTES) + 1):
+            token = lasts.get(piece[:end])
+            if token is None:
+                break
+            last.append(token)
+            counts.append(counts[end - len(token)] + 1)
+        if len(lasts) + len(piece) > REMEMBERED_PREFIXES:
+            lasts.clear()
+        for end in range(len(last), len(piece) + 1):
+            for length in tails.get(piece[end - TAIL : end] if end >= TAIL else b"", SHORT):
+                start = end - length
+                if start < 0:
+                    continue
                 token = piece[start:end]
                 if token not in ranks:
                     continue
@@ -135,6 +157,8 @@ class PrefixTable:
                 if known:
                     last.append(token)
                     counts.append(counts[start] + 1)
+                    if end <= REMEMBERED_BYTES:
+                        lasts[piece[:end]] = token
                     break
             else:
                 raise ValueError("the vocabulary does not cover all bytes")

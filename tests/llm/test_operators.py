@@ -455,6 +455,22 @@ def test_winnowing_keeps_rightmost_minima(session):
         assert row.p == sorted(places) and row.h == [h[p] for p in row.p]
 
 
+def test_token_counts_share_prefixes(monkeypatch):
+    """Last tokens of prefixes are found once for all pieces, within bounds that change no count."""
+    ranks, _ = token_counts.read_tokenizer(VOCABULARY)
+    table = token_counts.PrefixTable(ranks)
+    plain = table.counts(b"unbelievable")
+    known = dict(table.lasts)
+    assert len(known) == len(b"unbelievable") and table.counts(b"unbelievably")[:11] == plain[:11]
+    assert len(table.lasts) == len(known) + 1
+    rng = random.Random(11)
+    pieces = [bytes(rng.choice(b"aeinrst \xc3\xa9") for _ in range(rng.randint(1, 90))) for _ in range(300)]
+    monkeypatch.setattr(token_counts, "REMEMBERED_PREFIXES", 100)
+    for piece in pieces:
+        assert table.counts(piece) == token_counts.PrefixTable(ranks).counts(piece)
+    assert len(table.lasts) <= 190
+
+
 def test_common_words_are_not_counted_in_all_texts(session, monkeypatch):
     """A word that many texts with shared entities hold reveals none; its frequency is not asked for."""
     texts = [(i, f"w{'abcdefghij'[i // 3]}x common words here mail p{i // 3}@ex.org") for i in range(30)]
