@@ -10,9 +10,10 @@ the words in turn. Two classes stand by themselves: the end of a text, and all o
 Class transitions are smoothed by absolute discounting, word emissions by adding SMOOTHING.
 
 Counts of words and of neighbouring words come from all training texts, as Spark aggregations
-that combine within tasks first. What goes to every task is the vocabulary's classes and counts
-and the transition table, both bounded by parameters. Words outside the vocabulary, however
-many, are joined with their counts; none of them is frequent, so the join has no hot key.
+that combine within tasks first. What goes to every task is the vocabulary's classes, the counts of
+its words and of the COUNTED next ones, and the transition table, all bounded by parameters. Words
+beyond them, however many, are joined with their counts; none of them is frequent, so the join has
+no hot key. The clustering reads each word's neighbours as packed rows, which are made once.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ CLASSES = 64
 ROUNDS = 3
 SMOOTHING = 0.1
 DISCOUNT = 0.5
+# The next most frequent words, whose counts go to every task; the counts of all others are joined.
+COUNTED = 131_072
+# Distinct words that a task of that join holds, about.
+JOINED_WORDS = 500_000
 # A task passes on its counts when it holds this many.
 HELD_COUNTS = 200_000
 
@@ -60,6 +65,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows (word, n) of all counts from the least one on that at most `limit` words reach."""
+    reached, least = 0, None
+    for row in counts.groupBy("n").count().orderBy(F.desc("n")).limit(limit).collect():
+        reached += row["count"]
+        if reached > limit:
+            break
+        least = row["n"]
+    return counts.filter(F.col("n") >= F.lit(least))
+
+
 def _ids(texts: list[str], known: dict[bytes, int], end: int, other: int) -> np.ndarray:
     """Ids of all tokens of some texts, each text between two ends."""
     flat = [end]
@@ -108,19 +124,62 @@ def _log(n: np.ndarray) -> np.ndarray:
     return n * np.log(np.maximum(n, 1))
 
 
-def _class_table(bigrams: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring classes, from those of neighbouring words."""
+def neighbours(bigrams: DataFrame) -> DataFrame:
+    """One row for each id: the ids after it and before it with their counts, as packed numbers.
+
+    An id has at most as many neighbours on a side as there are ids. Its own repetitions stand on
+    the side after it only.
+    """
+    after = bigrams.select((2 * F.col("a")).alias("side"), F.col("b").alias("other"), "n")
+    before = bigrams.filter("a != b").select((2 * F.col("b") + 1).alias("side"), F.col("a").alias("other"), "n")
+    parts = int(bigrams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = after.unionByName(before).repartition(parts, F.shiftright("side", 1)).sortWithinPartitions("side")
+
+    def packed(side, other, n):
+        out = {c: [] for c in ("w", "after", "after_n", "before", "before_n")}
+        first = np.flatnonzero(np.r_[True, side[1:] >> 1 != side[:-1] >> 1])
+        middle = np.searchsorted(side, side[first] | 1)
+        for x, m, y in zip(first.tolist(), middle.tolist(), [*first[1:].tolist(), len(side)]):
+            out["w"].append(int(side[x]) >> 1)
+            for name, a, b in (("after", x, m), ("before", m, y)):
+                out[name].append(other[a:b].astype(np.int32).tobytes())
+                out[f"{name}_n"].append(n[a:b].astype(np.int64).tobytes())
+        return out
+
+    def task(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch[c] for c in ("side", "other", "n")])
+            size += len(held[-1][0])
+            if size >= HELD_COUNTS:
+                side, other, n = (np.concatenate(c) for c in zip(*held))
+                # The last id may go on.
+                end = int(np.searchsorted(side >> 1, side[-1] >> 1))
+                if end:
+                    yield packed(side[:end], other[:end], n[:end])
+                held, size = [[side[end:], other[end:], n[end:]]], 0
+        if held:
+            yield packed(*(np.concatenate(c) for c in zip(*held)))
+
+    schema = "w int, after binary, after_n binary, before binary, before_n binary"
+    return arrow_rows(rows, task, schema, numbers=True)
+
+
+def _class_table(around: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring classes, from the `neighbours` of all ids."""
     k = int(classes.max()) + 1
 
     def task(batches):
-        table = np.zeros(k * k, np.int64)
+        table = np.zeros((k, k), np.int64)
         for batch in batches:
-            a, b = classes[np.array(batch["a"], int)], classes[np.array(batch["b"], int)]
-            table += np.bincount(a * k + b, np.array(batch["n"]), k * k).astype(np.int64)
+            for w, after, n in zip(batch["w"], batch["after"], batch["after_n"]):
+                after, n = classes[np.frombuffer(after, np.int32)], np.frombuffer(n, np.int64)
+                table[classes[w]] += np.bincount(after, n, k).astype(np.int64)
         cells = np.flatnonzero(table)
-        yield {"cell": cells.tolist(), "n": table[cells].tolist()}
+        yield {"cell": cells.tolist(), "n": table.ravel()[cells].tolist()}
 
-    cells = arrow_rows(bigrams, task, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = arrow_rows(around.select("w", "after", "after_n"), task, "cell int, n long")
+    cells = cells.groupBy("cell").agg(F.sum("n").alias("n"))
     table = np.zeros(k * k)
     for row in cells.collect():  # at most (CLASSES + 2)^2 cells
         table[row["cell"]] = row["n"]
@@ -150,29 +209,17 @@ def _gains(rest: np.ndarray, out: np.ndarray, into: np.ndarray, twice: float, mo
     return gain
 
 
-def _best_classes(bigrams: DataFrame, classes: np.ndarray, table: np.ndarray, free: int, turn: int) -> np.ndarray:
+def _best_classes(around: DataFrame, classes: np.ndarray, table: np.ndarray, free: int, turn: int) -> np.ndarray:
     """The classes after one exchange step for the words with id % 2 = turn; `free` may move."""
-    spark = bigrams.sparkSession
-    after = bigrams.filter(f"a < {free} and a % 2 = {turn}").select(
-        F.col("a").alias("w"), F.col("b").alias("other"), "n", F.lit(True).alias("follows")
-    )
-    before = bigrams.filter(f"b < {free} and b % 2 = {turn} and a != b").select(
-        F.col("b").alias("w"), F.col("a").alias("other"), "n", F.lit(False).alias("follows")
-    )
-    # One row for each id of the vocabulary, whose size is a parameter.
-    of = F.broadcast(spark.createDataFrame(list(enumerate(classes.tolist())), "other int, class int"))
-    sides = after.unionByName(before).join(of, "other")
-    sides = sides.groupBy("w", "follows", "class", (F.col("other") == F.col("w")).alias("own")).agg(
-        F.sum("n").alias("n")
-    )
     k = table.shape[0]
     movable = int(classes[:free].max()) + 1
 
-    def moved(w, follows, other, own, n):
+    def moved(w, after, after_n, before, before_n):
         mine = int(classes[w])
-        out = np.bincount(other[follows & ~own], n[follows & ~own], k)
-        into = np.bincount(other[~follows], n[~follows], k)
-        twice = float(n[own].sum())
+        own = after == w
+        out = np.bincount(classes[after[~own]], after_n[~own], k)
+        into = np.bincount(classes[before], before_n, k)
+        twice = float(after_n[own].sum())
         rest = table.copy()
         rest[mine, :] -= out
         rest[:, mine] -= into
@@ -182,38 +229,27 @@ def _best_classes(bigrams: DataFrame, classes: np.ndarray, table: np.ndarray, fr
         return best if gain[best] > gain[mine] + 1e-6 else mine
 
     def task(batches):
-        held = None
         for batch in batches:
-            columns = [np.array(batch[c]) for c in ("w", "follows", "class", "own", "n")]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns)]
-            w = columns[0]
-            starts = [0, *(np.flatnonzero(w[1:] != w[:-1]) + 1).tolist()]
-            found = {"w": [], "c": []}
-            for x, y in zip(starts, starts[1:]):
-                found["w"].append(int(w[x]))
-                found["c"].append(moved(int(w[x]), *(c[x:y] for c in columns[1:])))
-            held = [c[starts[-1] :] for c in columns]
-            yield found
-        if held is not None and len(held[0]):
-            yield {"w": [int(held[0][0])], "c": [moved(int(held[0][0]), *held[1:])]}
-
-    # A word has at most two rows for each class.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = arrow_rows(sides.repartition(parts, "w").sortWithinPartitions("w"), task, "w int, c int")
+            sides = (
+                [np.frombuffer(x, kind) for x in batch[c]]
+                for c, kind in (("after", np.int32), ("after_n", np.int64), ("before", np.int32), ("before_n", np.int64))
+            )
+            yield {"w": batch["w"], "c": [moved(*row) for row in zip(batch["w"], *sides)]}
+
+    steps = arrow_rows(around.filter(f"w < {free} and w % 2 = {turn}"), task, "w int, c int")
     result = classes.copy()
     for row in steps.collect():  # at most one row for each word of the vocabulary
         result[row["w"]] = row["c"]
     return result
 
 
-def cluster(bigrams: DataFrame, size: int, classes: int, rounds: int) -> np.ndarray:
+def cluster(around: DataFrame, size: int, classes: int, rounds: int) -> np.ndarray:
     """Classes of ids 0..size+1: words by exchange, then the end and all other words."""
     deal = np.arange(size) % max(1, min(classes, size))
     ends = int(deal.max()) + 1 if size else 0
     current = np.concatenate([deal, [ends, ends + 1]]).astype(np.int64)
     for step in range(2 * rounds if size > 1 else 0):
-        current = _best_classes(bigrams, current, _class_table(bigrams, current), size, step % 2)
+        current = _best_classes(around, current, _class_table(around, current), size, step % 2)
     return current
 
 
@@ -242,8 +278,10 @@ def score_documents(docs: DataFrame, train: Column, vocabulary: int = VOCABULARY
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     total, kinds = int(total or 0), int(kinds or 0)
     top = counts.filter((F.length("word") > 0) & (F.length("word") <= WORD_BYTES))
+    more = frequent(top, vocabulary + COUNTED)
     top = top.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # bounded by the parameter
     known = {bytes(r["word"]): i for i, r in enumerate(top)}
+    more = [r for r in more.collect() if bytes(r["word"]) not in known]  # bounded, see `frequent`
     n = np.array([r["n"] for r in top], np.int64)
     ends = counts.filter(F.length("word") == 0).agg(F.sum("n")).first()[0]
     ends = int(ends or 0)
@@ -251,8 +289,9 @@ def score_documents(docs: DataFrame, train: Column, vocabulary: int = VOCABULARY
     end, other = size, size + 1
 
     bigrams = stored(bigram_counts(training, known, end, other), "lm-bigrams")
-    of = cluster(bigrams, size, classes, rounds)
-    step = transitions(_class_table(bigrams, of))
+    around = stored(neighbours(bigrams), "lm-neighbours")
+    of = cluster(around, size, classes, rounds)
+    step = transitions(_class_table(around, of))
     mass = np.bincount(of[:size], n, of[end]) if size else np.zeros(0)
     members = np.bincount(of[:size], minlength=of[end]) if size else np.zeros(0)
     emit = np.zeros(size + 2)  # the end is certain in its class; other words follow by count
@@ -264,24 +303,40 @@ def score_documents(docs: DataFrame, train: Column, vocabulary: int = VOCABULARY
     rare_kinds = kinds - size - (ends > 0)
     rare_total = np.log10(rare_mass + SMOOTHING * (rare_kinds + 1))
 
+    # The ids behind `other` are those of further words with known counts, which are in its class.
+    further = {bytes(r["word"]): other + 1 + i for i, r in enumerate(more)}
+    weights = np.log10(np.array([r["n"] for r in more], np.int64) + SMOOTHING)
+    of = np.append(of, np.full(len(more), of[other]))
+    emit = np.append(emit, weights - rare_total)
+    base = np.append(base, weights - np.log10(base_total))
+
     def task(batches):
+        ids_of = known | further
         for batch in batches:
-            out = {c: [] for c in ("row", "doc_id", "word", "n", "n_tokens", "n_known", "base", "score")}
-
-            def add(*values):
-                for column, value in zip(out.values(), values):
-                    column.append(value)
-
-            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
-                words = words_of(text)
-                ids = np.array([end, *(known.get(w, other) for w in words), end])
+            words, times, rare, totals = [], [], [], []
+            for text in batch["text"]:
+                own = words_of(text)
+                ids = np.array([end, *[ids_of.get(w, other) for w in own], end])
                 inside = ids[1:] != other
                 kinds_of = of[ids]
                 model = step[kinds_of[:-1], kinds_of[1:]].sum() + emit[ids[1:]].sum()
                 seen = int(inside.sum()) - (ends == 0)
-                add(row, doc_id, b"", 1, len(words) + 1, seen, base[ids[1:]][inside].sum(), model)
-                for word, times in Counter(w for w, i in zip(words, inside) if not i).items():
-                    add(row, doc_id, word, times, 0, 0, 0.0, 0.0)
+                totals.append((len(own) + 1, seen, base[ids[1:]][inside].sum(), model))
+                unknown = Counter([own[i] for i in np.flatnonzero(~inside).tolist()])
+                words.append(b"")
+                words += unknown
+                times.append(1)
+                times += unknown.values()
+                rare.append(1 + len(unknown))
+            # A text has a row of its own, then one for each rare word.
+            rare = np.array(rare)
+            lead = np.cumsum(rare) - rare
+            out = {"word": words, "n": times}
+            for name in ("row", "doc_id"):
+                out[name] = [value for value, count in zip(batch[name], rare.tolist()) for _ in range(count)]
+            for name, values in zip(("n_tokens", "n_known", "base", "score"), zip(*totals)):
+                out[name] = np.zeros(len(words), np.int64 if name.startswith("n_") else np.float64)
+                out[name][lead] = values
             yield out
 
     rows = documents_of(docs, F.monotonically_increasing_id().alias("row"))
@@ -293,7 +348,10 @@ def score_documents(docs: DataFrame, train: Column, vocabulary: int = VOCABULARY
     own = F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary")
     parts = parts.withColumn("key", F.when(F.length("word") == 0, own).otherwise(F.col("word")))
     rare = counts.filter(F.length("word") > 0).select(F.col("word").alias("key"), F.col("n").alias("c"))
-    joined = parts.join(rare, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    # So many parts that one part's words fit in a table of them, which spares sorting both sides.
+    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kinds // JOINED_WORDS))
+    joined = parts.repartition(count, "key").join(rare.repartition(count, "key").hint("shuffle_hash"), "key", "left")
+    joined = joined.withColumn("c", F.coalesce("c", F.lit(0)))
     lone = F.length("word") == 0
     weight = F.log10(F.col("c") + F.lit(SMOOTHING))
     joined = joined.select(

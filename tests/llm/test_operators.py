@@ -252,6 +252,44 @@ def test_language_model(docs):
     assert sum(r.score for r in held_out) > sum(r.base_score for r in held_out)
 
 
+def test_language_model_joins_rare_words_only(docs, session, monkeypatch):
+    """Counts of the next words come from a table in the task; which words it holds changes no score."""
+    train = F.col("doc_id") % 3 != 0
+    by_join = []
+    for counted in (0, 300, 1_000_000):
+        monkeypatch.setattr(brown_lm, "COUNTED", counted)
+        found = brown_lm.score_documents(docs, train, 200, 8, 1)
+        by_join.append(sorted(tuple(round(v, 6) for v in r) for r in found.collect()))
+    assert by_join[0] == by_join[1] == by_join[2]
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().toString()
+
+
+def test_neighbours_hold_all_bigrams(session, monkeypatch):
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, 3, (40, 40))
+    a, b = np.nonzero(table)
+    rows = [(int(i), int(j), int(table[i, j])) for i, j in zip(a, b)]
+    monkeypatch.setattr(brown_lm, "HELD_COUNTS", 50)
+    bigrams = session.createDataFrame(rows, "a int, b int, n long").repartition(3)
+    found = brown_lm.neighbours(bigrams).collect()
+    after = {
+        (r.w, int(o), int(n))
+        for r in found for o, n in zip(np.frombuffer(r.after, np.int32), np.frombuffer(r.after_n, np.int64))
+    }
+    before = {(int(o), r.w) for r in found for o in np.frombuffer(r.before, np.int32)}
+    assert len(found) == len({r.w for r in found}) and after == set(rows)
+    assert before == {(i, j) for i, j, _ in rows if i != j}
+    classes = np.arange(40) % 7
+    expected = np.zeros((7, 7))
+    np.add.at(expected, (classes[:, None], classes[None, :]), table)
+    assert (brown_lm._class_table(brown_lm.neighbours(bigrams), classes) == expected).all()
+
+
+def test_frequent_words_are_bounded(session):
+    counts = session.createDataFrame([(bytes([i]), n) for i, n in enumerate([9, 7, 7, 5, 5, 5])], "word binary, n long")
+    assert [brown_lm.frequent(counts, k).count() for k in (0, 1, 2, 3, 5, 6)] == [0, 1, 1, 3, 3, 6]
+
+
 def test_exchange_gain_is_the_change_of_likelihood():
     rng = np.random.default_rng(2)
     words, k = 12, 4
