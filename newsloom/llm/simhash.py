@@ -22,7 +22,7 @@ import math
 import numpy as np
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import arrow_rows, documents_of, stored
@@ -58,6 +58,8 @@ AHEAD = 4
 # Rounds of comparisons with near neighbours: so many at most, and as long as one compared pair in GAIN links.
 ROUNDS = 8
 GAIN = 20
+# Shingle hashes that a task holds of each side of a comparison of two leaves, in bytes and about.
+BLOCK_BYTES = 32 << 20
 # Entries of the index that a task of its sort should have.
 SORT_ROWS = 1_000_000
 
@@ -594,12 +596,14 @@ def walked_pairs(left: dict, right: dict | None, radius: int):
     yield from walk(*(g.ravel() for g in grid), size)
 
 
-def group_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
-    """All near pairs a < b of entries of two groups that share the leading `width` bits of a band.
+def group_leaves(sets: DataFrame, turns: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """What may hold near pairs of entries that share the leading `width` bits of a band.
 
     Runs of one key are leaves of at most LEAF entries; those of one key meet in a join, pruned by
     the bits that each leaf's members share. Whole runs that make one node are opened where they
-    stand, and runs of a single entry that cannot go on are left out.
+    stand, and runs of a single entry that cannot go on are left out. Returns the near pairs (a, b)
+    of the opened runs, fewer than FANOUT for each entry, and the meetings (band, leaf, leaf_r,
+    left, right) of leaves; `right` is null where a leaf meets itself.
     """
     def leaves(batches):
         part, made = TaskContext.get().partitionId(), 0
@@ -632,25 +636,184 @@ def group_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
         & (F.col("l.leaf") < F.col("r.leaf")) & (apart <= REACH),
     ).select("l.leaf", F.col("r.leaf").alias("leaf_r"))
     entry = F.struct(*_ENTRY)
-    across = meeting.join(found.select("leaf", entry.alias("left")), "leaf").join(
+    across = meeting.join(found.select("band", "leaf", entry.alias("left")), "leaf").join(
         found.select(F.col("leaf").alias("leaf_r"), entry.alias("right")), "leaf_r"
-    ).select("left", "right")
+    ).select("band", "leaf", "leaf_r", "left", "right")
     within = found.filter(F.size("id") > 1).select(
-        entry.alias("left"), F.lit(None).cast(dict(across.dtypes)["right"]).alias("right")
+        "band", "leaf", F.col("leaf").alias("leaf_r"), entry.alias("left"),
+        F.lit(None).cast(dict(across.dtypes)["right"]).alias("right"),
     )
+    return opened, within.unionByName(across)
+
+
+def _walked(left: dict, right: dict | None):
+    """The near pairs of a meeting of leaves, some at a time."""
+    return walked_pairs(*(
+        None if leaf is None else {n: np.array(leaf[n], np.int64) for n in _ENTRY} for leaf in (left, right)
+    ), REACH)
+
+
+def group_pairs(sets: DataFrame, turns: int, width: int) -> DataFrame:
+    """All near pairs a < b of entries of two groups that share the leading `width` bits of a band.
+
+    They may be as many as the pairs of a large group; `leaf_members` and `block_links` compare the
+    members of leaves without listing them.
+    """
+    opened, meetings = group_leaves(sets, turns, width)
 
     def task(batches):
         for batch in batches:
             for left, right in zip(batch["left"], batch["right"]):
-                mine, theirs = (
-                    None if leaf is None else {n: np.array(leaf[n], np.int64) for n in _ENTRY} for leaf in (left, right)
-                )
-                for x, y in walked_pairs(mine, theirs, REACH):
+                for x, y in _walked(left, right):
                     yield {
                         "a": np.minimum(x["id"], y["id"]).tolist(), "b": np.maximum(x["id"], y["id"]).tolist()
                     }
 
-    return arrow_rows(within.unionByName(across), task, "a long, b long").unionByName(opened).distinct()
+    return arrow_rows(meetings.select("left", "right"), task, "a long, b long").unionByName(opened).distinct()
+
+
+def leaf_members(meetings: DataFrame) -> DataFrame:
+    """(band, leaf, leaf_r, of_right, id): the members of meetings that are near any other one there."""
+
+    def task(batches):
+        for batch in batches:
+            for band, leaf, leaf_r, left, right in zip(*(batch[n] for n in ("band", "leaf", "leaf_r", "left", "right"))):
+                found = [np.empty(0, np.int64)] * 2
+                for pair in _walked(left, right):
+                    found = [np.union1d(own, rows["id"]) for own, rows in zip(found, pair)]
+                if right is None:
+                    found = np.union1d(*found), found[0][:0]
+                for of_right, ids in enumerate(found):
+                    count = len(ids)
+                    yield {
+                        "band": [band] * count, "leaf": [leaf] * count, "leaf_r": [leaf_r] * count,
+                        "of_right": [bool(of_right)] * count, "id": ids.tolist(),
+                    }
+
+    return arrow_rows(meetings, task, "band int, leaf long, leaf_r long, of_right boolean, id long")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """`members` (with size) for each block i, j that they are in: parts of the left and the right side.
+
+    A part holds the hashes of about BLOCK_BYTES or of a single set. Where a leaf meets itself, its
+    parts meet each other, and themselves.
+    """
+    side = Window.partitionBy("leaf", "leaf_r", "of_right").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    meeting = Window.partitionBy("leaf", "leaf_r")
+    before = F.coalesce(F.sum("size").over(side), F.lit(0))
+    parted = members.withColumn("part", F.floor(8 * before / BLOCK_BYTES).cast("int"))
+    parted = parted.withColumn("last", F.max(F.when(~F.col("of_right"), F.col("part"))).over(meeting))
+    parted = parted.withColumn("last_r", F.max(F.when(F.col("of_right"), F.col("part"))).over(meeting))
+
+    def as_left(first, last):
+        return F.transform(
+            F.sequence(first, last), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(False).alias("second"))
+        )
+
+    def as_right(last):
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(True).alias("second"))
+        )
+
+    own = as_left(F.col("part"), F.col("last"))
+    own = F.when(F.col("part") > 0, F.concat(own, as_right(F.col("part") - 1))).otherwise(own)
+    places = (
+        F.when(F.col("leaf") == F.col("leaf_r"), own)
+        .when(F.col("of_right"), as_right(F.col("last"))).otherwise(as_left(F.lit(0), F.col("last_r")))
+    )
+    return parted.select("band", "leaf", "leaf_r", "id", "group", "size", "fps", F.inline(places))
+
+
+def _first_band(differ: np.ndarray, bits: np.ndarray, turns: int, width: int) -> np.ndarray:
+    """The first band that proposes each pair, of the bits in which its fingerprints differ and their counts."""
+    sides = sum(np.roll(bits, -k, axis=1) for k in range(1, SIDES + 1))
+    near = (bits <= REACH) & (sides <= SIDE_REACH)
+    near[:, turns:] = False
+    led = [(_turn(differ, place * (BITS // PLACES)) >> np.uint64(BITS - width)) == 0 for place in range(PLACES)]
+    proposed = near[:, :, None] & np.stack(led, axis=2)
+    return proposed.reshape(len(bits), bits.shape[1] * PLACES).argmax(axis=1)
+
+
+def _block_links(block: dict, turns: int, width: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning pairs of at least `similarity` between the groups of a block.
+
+    Every pair is compared in the first band that proposes it, unless its groups are united by then.
+    """
+    prints = np.array(block["fps"], np.int64).view(np.uint64)
+    turn, place = block["band"] // PLACES, block["band"] % PLACES
+    turned = _turn(prints[:, turn], place * (BITS // PLACES))
+    columns = {"id": np.arange(len(prints)), "group": np.array(block["group"], np.int64), "turned": turned.view(np.int64)}
+    for k in range(1, SIDES + 1):
+        columns[f"side_{k}"] = np.ascontiguousarray(prints[:, (turn + k) % prints.shape[1]]).view(np.int64)
+    second, order = np.array(block["second"]), np.argsort(turned, kind="stable")
+    left, right = ({n: c[order[second[order] == of]] for n, c in columns.items()} for of in (False, True))
+    if block["i"] == block["j"] and block["leaf"] == block["leaf_r"]:
+        right = None
+    elif not len(left["id"]) or not len(right["id"]):
+        return []
+    sizes, hashes = np.array(block["size"]), [np.frombuffer(h, np.uint64) for h in block["hashes"]]
+    chance, count = differing(similarity), BITS * prints.shape[1]
+    long = chance + STRAY * math.sqrt(chance * (1 - chance) / count)
+    root, links = {g: g for g in block["group"]}, []
+
+    def find(g: int) -> int:
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
+
+    for x, y in walked_pairs(left, right, REACH):
+        for at in range(0, len(x["id"]), CHUNK):
+            a, b = x["id"][at : at + CHUNK], y["id"][at : at + CHUNK]
+            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            fits = small >= similarity * large - 1e-9
+            a, b, small = a[fits], b[fits], small[fits]
+            differ = prints[a] ^ prints[b]
+            bits = np.bitwise_count(differ).astype(np.int64)
+            total = bits.sum(axis=1)
+            near = total <= np.where(small >= LONG, long, FAR) * count
+            near[near] = _first_band(differ[near], bits[near], turns, width) == block["band"]
+            at_once = np.flatnonzero(near)
+            for k in at_once[np.argsort(total[at_once], kind="stable")].tolist():
+                i, j = int(a[k]), int(b[k])
+                mine, theirs = find(block["group"][i]), find(block["group"][j])
+                if mine != theirs and jaccard(hashes[i], hashes[j]) >= similarity:
+                    root[mine] = theirs
+                    links.append((block["id"][i], block["id"][j]))
+    return links
+
+
+def block_links(members: DataFrame, groups: DataFrame, sets: DataFrame, hashed: DataFrame,
+                turns: int, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) of at least `similarity` that span the groups that such pairs of `members` unite.
+
+    Of the pairs of a meeting only spanning ones leave its task, however many are compared.
+    """
+    told = members.join(groups, "id").join(sets.select("id", "size"), "id")
+    key = ("leaf", "leaf_r", "i", "j")
+    rows = _in_blocks(told).join(hashed, "id")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *key).sortWithinPartitions(*key)
+    fixed, names = ("band", *key), ("id", "group", "size", "fps", "second", "hashes")
+
+    def task(batches):
+        block = None
+
+        def linked():
+            pairs = _block_links(block, turns, width, similarity) if block else []
+            return {"a": [min(p) for p in pairs], "b": [max(p) for p in pairs]}
+
+        for batch in batches:
+            for values in zip(*(batch[n] for n in (*fixed, *names))):
+                head = values[: len(fixed)]
+                if block is None or tuple(block[n] for n in fixed) != head:
+                    yield linked()
+                    block = dict(zip(fixed, head)) | {n: [] for n in names}
+                for n, value in zip(names, values[len(fixed) :]):
+                    block[n].append(value)
+        yield linked()
+
+    return arrow_rows(rows.select(*fixed, *names), task, "a long, b long")
 
 
 def nearest_first(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -676,13 +839,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are as similar as asked, exactly.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-    Texts that stand in a pair are shingled once; what meets in the joins is their sorted hashes.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = sets.select("id", "digest").join(ends, "id", "left_semi")
+
+def sorted_hashes(ids: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """(id, hashes): the sorted shingle hashes of the sets of some distinct ids, shingled once."""
+    asked = sets.select("id", "digest").join(ids, "id", "left_semi")
     texts = documents_of(docs, F.monotonically_increasing_id().alias("id")).join(asked, "id")
 
     def hashes(batches):
@@ -693,9 +856,19 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, similar
                     raise RuntimeError("rows are numbered otherwise than before; read them from files")
             yield {"id": batch["id"], "hashes": found}
 
-    sorted_sets = stored(
+    return stored(
         arrow_rows(texts.select("id", "digest", "text"), hashes, "id long, hashes binary"), "simhash-hashes"
     )
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, similarity: float,
+             sorted_sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are as similar as asked, exactly.
+
+    Texts that stand in a pair are shingled once, or come as `sorted_hashes`; these meet in the joins.
+    """
+    if sorted_sets is None:
+        sorted_sets = sorted_hashes(_ends(pairs), docs, sets, k)
     left = sorted_sets.select(F.col("id").alias("a"), F.col("hashes").alias("hashes_a"))
     right = sorted_sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b"))
 
@@ -735,7 +908,7 @@ def verified_groups(docs: DataFrame, sets: DataFrame, k: int, turns: int, simila
         nearest_first(neighbour_pairs(alone, min(turns, FIRST_TURNS), width), sets, similarity), "simhash-near"
     )
     # Sets without any neighbour wait for the last step.
-    near_ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    near_ids = _ends(pairs)
     tried = stored(nearest(pairs), "simhash-near")
     linked = stored(verified(tried, docs, sets, k, similarity), "simhash-verified")
     for _ in range(1, ROUNDS):
@@ -749,10 +922,14 @@ def verified_groups(docs: DataFrame, sets: DataFrame, k: int, turns: int, simila
         if gained * GAIN <= compared:
             break
     groups = stored(grouped(linked), "simhash-groups")
-    between = group_pairs(groups, turns, width).join(tried, ["a", "b"], "left_anti")
+    opened, meetings = group_leaves(groups, turns, width)
+    between = opened.distinct().join(tried, ["a", "b"], "left_anti")
     between = stored(nearest_first(between, sets, similarity).select("a", "b"), "simhash-between")
-    more = stored(verified(between, docs, sets, k, similarity), "simhash-verified")
-    return grouped(linked.unionByName(more)).select("id", "group")
+    members = stored(leaf_members(meetings), "simhash-members")
+    hashed = sorted_hashes(_ends(between).unionByName(members.select("id")).distinct(), docs, sets, k)
+    more = stored(verified(between, docs, sets, k, similarity, hashed), "simhash-verified")
+    across = stored(block_links(members, groups, sets, hashed, turns, width, similarity), "simhash-verified")
+    return grouped(linked.unionByName(more).unionByName(across)).select("id", "group")
 
 
 def distinct_sets(docs: DataFrame, k: int, turns: int) -> tuple[DataFrame, DataFrame]:

@@ -127,3 +127,43 @@ def test_each_entry_gives_one_neighbour_pair():
         near = [bits(i, j) for j in range(size) if (min(i, j), max(i, j)) in allowed]
         mine = [bits(x, y) for x, y in zip(a.tolist(), b.tolist()) if i in (x, y)]
         assert min(mine, default=None) == min(near, default=None)
+
+
+@pytest.mark.parametrize("leaf, block", [(simhash.LEAF, simhash.BLOCK_BYTES), (48, 12_000)])
+def test_large_groups_list_no_pairs(session, tmp_path, monkeypatch, leaf, block):
+    """Texts that hardly are near copies: groups as over all proposed pairs, but rows as the index entries."""
+    rng, turns, width = random.Random(leaf), 4, 16
+    base, count = [f"w{i}" for i in range(100)], 260
+    texts = []
+    for i in range(count):
+        words = list(base)
+        for k in range(rng.choice([1, 1, 2, 2, 3])):
+            words[rng.randrange(100)] = f"x{i}-{k}"
+        texts.append(" ".join(words))
+    rows = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = session.read.parquet(f"{tmp_path}/d")
+    _, sets = simhash.distinct_sets(docs, 5, turns)
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+    alone = sets.selectExpr("id", "fps", "id AS group")
+    proposed = simhash.nearest_first(simhash.group_pairs(alone, turns, width), sets, 0.8).collect()
+    shingles = {r["id"]: simhash.shingle_hashes(texts[r["place"]["doc_id"]], 5) for r in sets.collect()}
+    links = [
+        (r["a"], r["b"]) for r in proposed
+        if simhash.jaccard(np.unique(shingles[r["a"]]), np.unique(shingles[r["b"]])) >= 0.8
+    ]
+    entries = turns * simhash.PLACES * count
+    assert len(proposed) > 2 * entries > 0 < len(links)
+
+    counts, stored = [], simhash.stored
+
+    def counted(df, purpose):
+        found = stored(df, purpose)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    found = {r["id"]: r["group"] for r in simhash.verified_groups(docs, sets, 5, turns, 0.8).collect()}
+    assert found == {i: i for i in shingles} | plain_roots(links)
+    assert max(counts) <= entries * (1 if leaf == simhash.LEAF else -(-count // leaf))
