@@ -55,6 +55,8 @@ MISSED = 0.01
 # Fingerprints of the first comparison, and how far ahead in Gray order the next ones look.
 FIRST_TURNS = 8
 AHEAD = 4
+# Untried neighbours of which a round looks at all fingerprints, for each set.
+NEAREST = 3
 # Rounds of comparisons with near neighbours: so many at most, and as long as one compared pair in GAIN links.
 ROUNDS = 8
 GAIN = 20
@@ -510,7 +512,14 @@ def _pairs_ahead(rows: dict, width: int, ahead: int):
 
 
 def _nearest_ahead(rows: dict, width: int, ahead: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) arrays, a < b: each entry with the nearest of the near ones at most `ahead` places from it.
+    """(a, b) arrays, a < b: each entry with the nearest of the near ones at most `ahead` places from it."""
+    a, b, _ = _nearest_places(rows, width, ahead)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _nearest_places(rows: dict, width: int, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, differing bits): each entry's nearest of the near ones at most `ahead` places from it.
 
     An entry gives one pair at most, however many entries share its key.
     """
@@ -524,13 +533,11 @@ def _nearest_ahead(rows: dict, width: int, ahead: int) -> tuple[np.ndarray, np.n
         best[at] = np.minimum(best[at], bits * span + ahead + step)
         best[at + step] = np.minimum(best[at + step], bits * span + ahead - step)
     found = np.flatnonzero(best < none)
-    x, y = rows["id"][found], rows["id"][found + best[found] % span - ahead]
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-    return pairs[0], pairs[1]
+    return rows["id"][found], rows["id"][found + best[found] % span - ahead], best[found] // span
 
 
-def neighbour_pairs(sets: DataFrame, turns: int, width: int, ahead: int = 1) -> DataFrame:
-    """Pairs a < b of entries and the nearest in their key at most `ahead` places apart in Gray order."""
+def _neighbours(sets: DataFrame, turns: int, width: int, ahead: int) -> DataFrame:
+    """(id, other, bits): each entry and the nearest in its key at most `ahead` places from it in Gray order."""
 
     def task(batches):
         names, before = (*_ENTRY, "band"), None
@@ -538,10 +545,38 @@ def neighbour_pairs(sets: DataFrame, turns: int, width: int, ahead: int = 1) ->
             if before is not None:
                 rows = {n: np.concatenate([before[n], rows[n]]) for n in names}
             before = {n: c[-ahead:] for n, c in rows.items()}
-            a, b = _nearest_ahead(rows, width, ahead)
-            yield {"a": a, "b": b}
+            a, b, bits = _nearest_places(rows, width, ahead)
+            yield {"id": a, "other": b, "bits": bits}
+
+    return arrow_rows(_entries(sets, turns), task, "id long, other long, bits long", numbers=True)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """The distinct pairs a < b of rows (id, other)."""
+    return rows.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
-    return arrow_rows(_entries(sets, turns), task, "a long, b long", numbers=True).distinct()
+
+def neighbour_pairs(sets: DataFrame, turns: int, width: int, ahead: int = 1) -> DataFrame:
+    """Pairs a < b of entries and the nearest in their key at most `ahead` places apart in Gray order."""
+    return _pairs(_neighbours(sets, turns, width, ahead))
+
+
+def untried_pairs(sets: DataFrame, turns: int, width: int, ahead: int, tried: DataFrame | None = None) -> DataFrame:
+    """Pairs a < b of each set and the NEAREST of its neighbours in all bands that are not in `tried`.
+
+    A set's neighbours, a few a band, and those it was tried with are one row each, so that what
+    meets here grows with the sets, not with the pairs of a group.
+    """
+    found = _neighbours(sets, turns, width, ahead)
+    ends = F.array(*(F.struct(F.col(x).alias("id"), F.col(y).alias("other"), "bits") for x, y in (("id", "other"), ("other", "id"))))
+    found = found.select(F.inline(ends)).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("bits", "other"))).alias("near"))
+    found = found.select("id", F.array_distinct(F.col("near")["other"]).alias("near"))
+    if tried is not None:
+        ends = F.array(*(F.struct(F.col(x).alias("id"), F.col(y).alias("other")) for x, y in ("ab", "ba")))
+        past = tried.select(F.inline(ends)).groupBy("id").agg(F.collect_set("other").alias("past"))
+        found = found.join(past, "id", "left").withColumn("past", F.coalesce("past", F.array().cast("array<long>")))
+        found = found.withColumn("near", F.array_except("near", "past"))
+    return _pairs(found.select("id", F.explode(F.slice("near", 1, NEAREST)).alias("other")))
 
 
 def _differing(left: dict, right: dict, name: str) -> np.ndarray:
@@ -693,6 +728,11 @@ def leaf_members(meetings: DataFrame) -> DataFrame:
     return arrow_rows(meetings, task, "band int, leaf long, leaf_r long, of_right boolean, id long")
 
 
+def _of_each(rows: DataFrame) -> DataFrame:
+    """(id, places): all rows of an id in one, so that joins by id have a row for each id."""
+    return rows.groupBy("id").agg(F.collect_list(F.struct(*(n for n in rows.columns if n != "id"))).alias("places"))
+
+
 def _in_blocks(members: DataFrame) -> DataFrame:
     """`members` (with size) for each block i, j that they are in: parts of the left and the right side.
 
@@ -722,7 +762,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
         F.when(F.col("leaf") == F.col("leaf_r"), own)
         .when(F.col("of_right"), as_right(F.col("last"))).otherwise(as_left(F.lit(0), F.col("last_r")))
     )
-    return parted.select("band", "leaf", "leaf_r", "id", "group", "size", "fps", F.inline(places))
+    return parted.select("band", "leaf", "leaf_r", "id", F.inline(places))
 
 
 def _first_band(differ: np.ndarray, bits: np.ndarray, turns: int, width: int) -> np.ndarray:
@@ -789,9 +829,11 @@ def block_links(members: DataFrame, groups: DataFrame, sets: DataFrame, hashed:
 
     Of the pairs of a meeting only spanning ones leave its task, however many are compared.
     """
-    told = members.join(groups, "id").join(sets.select("id", "size"), "id")
+    sizes = sets.select("id", "size")
     key = ("leaf", "leaf_r", "i", "j")
-    rows = _in_blocks(told).join(hashed, "id")
+    sized = _of_each(members).join(sizes, "id").select("id", "size", F.inline("places"))
+    placed = _of_each(_in_blocks(sized)).join(groups, "id").join(sizes, "id").join(hashed, "id")
+    rows = placed.select("id", "group", "size", "fps", "hashes", F.inline("places"))
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, *key).sortWithinPartitions(*key)
     fixed, names = ("band", *key), ("id", "group", "size", "fps", "second", "hashes")
@@ -905,7 +947,7 @@ def verified_groups(docs: DataFrame, sets: DataFrame, k: int, turns: int, simila
     width = band_width(sets.count())
     alone = sets.select("id", "fps", F.col("id").alias("group"))
     pairs = stored(
-        nearest_first(neighbour_pairs(alone, min(turns, FIRST_TURNS), width), sets, similarity), "simhash-near"
+        nearest_first(untried_pairs(alone, min(turns, FIRST_TURNS), width, 1), sets, similarity), "simhash-near"
     )
     # Sets without any neighbour wait for the last step.
     near_ids = _ends(pairs)
@@ -913,8 +955,8 @@ def verified_groups(docs: DataFrame, sets: DataFrame, k: int, turns: int, simila
     linked = stored(verified(tried, docs, sets, k, similarity), "simhash-verified")
     for _ in range(1, ROUNDS):
         groups = stored(grouped(linked), "simhash-groups")
-        pairs = neighbour_pairs(groups.join(near_ids, "id", "left_semi"), turns, width, AHEAD)
-        pairs = nearest_first(pairs.join(tried, ["a", "b"], "left_anti"), sets, similarity)
+        pairs = untried_pairs(groups.join(near_ids, "id", "left_semi"), turns, width, AHEAD, tried)
+        pairs = nearest_first(pairs, sets, similarity)
         pairs = stored(nearest(pairs), "simhash-near")
         found = stored(verified(pairs, docs, sets, k, similarity), "simhash-verified")
         gained, compared = found.count(), pairs.count()

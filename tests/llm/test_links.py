@@ -167,3 +167,32 @@ def test_large_groups_list_no_pairs(session, tmp_path, monkeypatch, leaf, block)
     found = {r["id"]: r["group"] for r in simhash.verified_groups(docs, sets, 5, turns, 0.8).collect()}
     assert found == {i: i for i in shingles} | plain_roots(links)
     assert max(counts) <= entries * (1 if leaf == simhash.LEAF else -(-count // leaf))
+
+
+def test_untried_pairs_grow_with_the_sets(session):
+    """A set offers its nearest neighbours only, over all bands, and none that it was compared with."""
+    rng, turns, count = random.Random(9), 6, 150
+    base = [rng.getrandbits(64) for _ in range(turns)]
+    fps = [[v ^ sum(1 << b for b in rng.sample(range(64), 3)) for v in base] for _ in range(count)]
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    sets = session.createDataFrame([(i, f, i) for i, f in enumerate(signed)], "id long, fps array<long>, group long")
+    near = {(r["a"], r["b"]) for r in simhash.group_pairs(sets, turns, 16).collect()}
+    beside = simhash.neighbour_pairs(sets, turns, 16, 4).count()
+    first = {(r["a"], r["b"]) for r in simhash.untried_pairs(sets, turns, 16, 4).collect()}
+    assert first < near and len(first) <= simhash.NEAREST * count < beside
+    tried = session.createDataFrame(sorted(first), "a long, b long")
+    second = {(r["a"], r["b"]) for r in simhash.untried_pairs(sets, turns, 16, 4, tried).collect()}
+    assert second <= near - first and count / 2 <= len(second) <= simhash.NEAREST * count
+
+
+def test_stored_tables_leave_no_shuffle_files(session):
+    """What was shuffled for a stored table is gone from the disk with the write."""
+    def files():
+        manager = session.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return manager.getAllFiles().size()
+
+    rows = session.range(1000).selectExpr("id % 7 AS a", "id AS b")
+    before = files()
+    found = simhash.stored(rows.groupBy("a").count(), "shuffled")
+    assert sorted(r["count"] for r in found.collect()) == [142] + [143] * 6
+    assert files() <= before
