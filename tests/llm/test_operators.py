@@ -432,6 +432,23 @@ def test_induced_sort():
         assert [list(x) for x in got] == [order, shared]
 
 
+def test_induced_sort_takes_few_steps(monkeypatch):
+    """What a queue holds of a letter is induced at once; long runs, long pieces and spilled blocks stay right."""
+    rnd, calls = random.Random(6), []
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 12))) for _ in range(60)]
+    text = " ".join(rnd.choice(words) for _ in range(900)) + "a" * 60 + "".join(map(chr, range(97, 160))) * 2 + chr(0)
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    shared = [0]
+    for a, b in zip(order, order[1:]):
+        same = next(k for k in range(len(text)) if k == 30 or text[a + k] != text[b + k])
+        shared.append(same)
+    take = induced_sort.DiskQueue.take
+    monkeypatch.setattr(induced_sort.DiskQueue, "take", lambda self, letter: calls.append(letter) or take(self, letter))
+    got = induced_sort.suffixes(text, 30)
+    assert [list(x) for x in got] == [order, shared] and len(calls) < len(text) / 5
+    assert [list(x) for x in induced_sort.suffixes(text, 30, 50)] == [order, shared]
+
+
 @pytest.mark.parametrize("group_rows", [1_024, 2])
 def test_repeated_bytes(docs, monkeypatch, group_rows):
     monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", group_rows)
